@@ -35,16 +35,22 @@ def key_states(df: DataFrame, key: str, size: str | None = None, distinct: Seque
     return out.withColumnRenamed("k", key)
 
 
-def joined_states(left: DataFrame, right: DataFrame, key: str, left_size: str, right_size: str) -> DataFrame:
-    """What an inner join on ``key`` would count, without joining rows: n_joined = n_left * n_right, and the sums of both
-    sides' sizes over the joined rows. Null keys match nothing, as in a join."""
-    a = key_states(left.where(F.col(key).isNotNull()), key, left_size).select(key, F.col("n_rows").alias("n_left"), F.col("size_sum").alias("s_left"))
+def joined_states(left: DataFrame, right: DataFrame, key: str, left_size: str | None = None, right_size: str | None = None, how: str = "inner") -> DataFrame:
+    """What a join on ``key`` would count, without joining rows: n_joined = n_left * n_right, and the sums of both sides'
+    sizes over the joined rows. ``how`` is inner or left; a left key without match joins as one row of nulls. Null keys
+    match nothing: an inner join leaves them out."""
+    keep = left if how == "left" else left.where(F.col(key).isNotNull())
+    a = key_states(keep, key, left_size).select(key, F.col("n_rows").alias("n_left"), F.col("size_sum").alias("s_left"))
     b = key_states(right.where(F.col(key).isNotNull()), key, right_size).select(key, F.col("n_rows").alias("n_right"), F.col("size_sum").alias("s_right"))
-    return a.join(b, key).select(key, "n_left", "n_right", (F.col("n_left") * F.col("n_right")).alias("n_joined"), (F.col("s_left") * F.col("n_right")).alias("left_size_joined"), (F.col("s_right") * F.col("n_left")).alias("right_size_joined"))
-
-
-def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """(key, n_rows, share) of the non-null keys with more than ``share`` of all rows, null keys' rows included."""
-    states = key_states(df, key)
-    total = states.agg(F.sum("n_rows").alias("all_rows"))
-    return states.join(F.broadcast(total)).where(F.col(key).isNotNull() & (F.col("n_rows") > F.lit(share) * F.col("all_rows"))).select(key, "n_rows", F.round(F.col("n_rows") / F.col("all_rows"), 6).alias("share"))
+    j = a.join(b, key, how).withColumn("n_right", F.coalesce("n_right", F.lit(0))).withColumn("s_right", F.coalesce("s_right", F.lit(0)))
+    times = F.greatest("n_right", F.lit(1))
+    return j.select(key, "n_left", "n_right", (F.col("n_left") * times).alias("n_joined"), (F.col("s_left") * times).alias("left_size_joined"), (F.col("s_right") * F.col("n_left")).alias("right_size_joined"))
+
+
+def heavy_keys(df: DataFrame, key: str, share: float, other: DataFrame) -> DataFrame:
+    """(key, n_rows, share, n_other) of the non-null keys with more than ``share`` of all rows, null keys' rows included;
+    n_other is the key's number of rows in ``other``. Both inputs are aggregated by key, the states are joined, and the
+    number of all rows is read from the files' footers."""
+    total = df.count()
+    s = joined_states(df, other, key, how="left").where(F.col(key).isNotNull() & (F.col("n_left") > F.lit(share) * F.lit(total)))
+    return s.select(key, F.col("n_left").alias("n_rows"), F.round(F.col("n_left") / F.lit(max(1, total)), 6).alias("share"), F.col("n_right").alias("n_other"))

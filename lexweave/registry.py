@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.operators import hierarchy, skew
-from lexweave.session import table
+from lexweave import oracle
+from lexweave.functions import text
+from lexweave.operators import chunking, cleaning, conversation, dense, evidence, fingerprint, fusion, hierarchy, html, indexing, metrics, skew, sparse, splits, validate
+from lexweave.plans import hybrid
+from lexweave.session import materialize, table
+from lexweave.streaming import rate
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +27,7 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_keys(table(spark, d, "legal_chunks"), "law_id", 0.05).select("law_id")
+    return skew.heavy_keys(table(spark, d, "legal_chunks"), "law_id", 0.05, table(spark, d, "normalized_artifacts")).select("law_id")
 
 
 def p4_per_law(spark: SparkSession, d: str) -> DataFrame:
@@ -35,8 +39,354 @@ def p4_joined(spark: SparkSession, d: str) -> DataFrame:
     return skew.joined_states(table(spark, d, "legal_chunks"), table(spark, d, "normalized_artifacts"), "law_id", "text", "normalized_text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_trees, p2_descendants, p4_found, p4_per_law, p4_joined)}
-FLAGSHIP = "p4_per_law"
+
+# --- Sparse retrieval ------------------------------------------------------------------------------------------------
+
+
+def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.corpus_statistics(table(spark, d, "documents"), "doc_id", "text").select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def bm25_document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.document_frequency(table(spark, d, "documents"), "doc_id", "text")
+
+
+def bm25_postings_by_doc(spark: SparkSession, d: str) -> DataFrame:
+    p = sparse.postings(table(spark, d, "documents"), "doc_id", "text")
+    return p.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("max_tf"))
+
+
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.bm25_topk(table(spark, d, "documents"), table(spark, d, "benchmark_queries"))
+
+
+# --- Dense retrieval -------------------------------------------------------------------------------------------------
+
+
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    return dense.dense_topk(v, v.where("vec_id % 100 = 0")).select("query_id", "doc_id", "rank")
+
+
+def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Only vectors of one label: the filter goes to the scan."""
+    v = table(spark, d, "embeddings")
+    return dense.dense_topk(v.where("label = 2"), v.where("vec_id % 100 = 0"), 5).select("query_id", "doc_id", "rank")
+
+
+def vector_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return dense.vector_diagnostics(table(spark, d, "embeddings"), "embedding")
+
+
+# --- Hybrid retrieval: queries are the documents whose id is divisible by 100 -----------------------------------------
+
+
+def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
+    asked = docs.where("doc_id % 100 = 0")
+    de = dense.dense_topk(v, v.where("vec_id % 100 = 0"), 50)
+    sp = sparse.bm25_topk(docs, asked.select("doc_id", "title"), 50, query_id="doc_id", query="title").where("doc_id <> query_id")
+    return materialize(de), materialize(sp)
+
+
+def _judgments(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the query's title are wanted, most those of its law too."""
+    docs = table(spark, d, "documents").select("doc_id", "law_id", text.duplicate_key("title").alias("t")).where("t <> ''")
+    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("law_id").alias("q_law"), "t")
+    return q.join(docs, "t").where("doc_id <> query_id").select("query_id", "doc_id", F.when(F.col("q_law") == F.col("law_id"), 3).otherwise(2).alias("gain"))
+
+
+def rrf_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.top_fused(fusion.fuse(*_hits(spark, d), sparse_weight=1.5), 10).select("query_id", "doc_id", "rank", "fused")
+
+
+def quota_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.select_with_quotas(fusion.fuse(*_hits(spark, d), sparse_weight=1.5), 10, 5, 4, 1).select("query_id", "doc_id", "rank", "phase")
+
+
+def diverse_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    laws = table(spark, d, "documents").select("doc_id", "law_id")
+    return fusion.select_diverse(fusion.fuse(*_hits(spark, d), sparse_weight=1.5).join(laws, "doc_id", "left"), 10, "law_id")
+
+
+def reranked_topk(spark: SparkSession, d: str) -> DataFrame:
+    de, sp = _hits(spark, d)
+    return fusion.rerank(fusion.top_fused(fusion.fuse(de, sp, sparse_weight=1.5), 20), sp, 10)
+
+
+def fallback_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Dense hits where there are any, sparse hits for the other queries."""
+    de, sp = _hits(spark, d)
+    return fusion.with_fallback(de.where("rank <= 10 and query_id % 200 = 0"), sp.where("rank <= 10"))
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.per_query(hybrid.ranking(*_hits(spark, d), hybrid.Config("rrf", 1, 1.5)), _judgments(spark, d))
+
+
+def retrieval_metrics_per_query(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, d)
+
+
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.aggregate(_cases(spark, d))
+
+
+def retrieval_breakdowns(spark: SparkSession, d: str) -> DataFrame:
+    dims = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lower(F.trim("lang")).alias("lang"), F.lower(F.trim("source")).alias("source"))
+    return metrics.breakdowns(_cases(spark, d).join(dims, "query_id"), ["lang", "source"])
+
+
+def fusion_ablation(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid.ablation(*_hits(spark, d), materialize(_judgments(spark, d)))
+
+
+# --- Evidence --------------------------------------------------------------------------------------------------------
+
+
+def _law_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Per law its 20 longest chunks as a ranking, and the chunks."""
+    c = validate.latest(table(spark, d, "legal_chunks").select("chunk_id", "law_id", "article_number", "citation", "text", "parent_text", "indexed_at"), "chunk_id", "indexed_at")
+    w = Window.partitionBy("law_id").orderBy(F.desc(F.length("text")), "chunk_id")
+    h = c.where("law_id is not null and text is not null").select("law_id", "chunk_id", F.row_number().over(w).alias("rank"), F.length("text").cast("double").alias("score")).where("rank <= 20")
+    return h.select(F.col("law_id").alias("query_id"), F.col("chunk_id").alias("doc_id"), "rank", "score"), c.drop("indexed_at")
+
+
+def evidence_packets(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.packets(*_law_hits(spark, d)).select("query_id", "packet_no", "doc_id", "rank", F.length("citable_text").alias("n_citable"), F.col("context_text").isNotNull().alias("has_context"))
+
+
+def evidence_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.prompts(evidence.packets(*_law_hits(spark, d))).select("query_id", "n_evidence", F.length("prompt").alias("n_chars"))
+
+
+def citation_guard(spark: SparkSession, d: str) -> DataFrame:
+    m = conversation.distinct_messages(table(spark, d, "conversation_messages")).where("role = 'assistant'").withColumn("n_evidence", F.lit(3))
+    c = evidence.check_citations(m, answer="content")
+    return c.select("id", F.array_join("cited", ",").alias("cited"), F.array_join("unknown", ",").alias("unknown"), "grounded")
+
+
+# --- Text functions --------------------------------------------------------------------------------------------------
+
+
+def text_keys(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "legal_chunks").where("law_name is not null").select("law_name").distinct()
+    return t.select("law_name", text.duplicate_key("law_name").alias("duplicate_key"), text.bare_key("law_name").alias("bare_key"), text.preview("law_name", 12).alias("preview"), text.numeric_prefix(F.substring("law_name", -4, 4)).alias("year"))
+
+
+def near_duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that are the same but for marks, case and punctuation."""
+    t = table(spark, d, "documents").where(text.blank_to_null("title").isNotNull()).groupBy(text.bare_key("title").alias("key")).agg(F.count("*").alias("n_docs"), F.count_distinct("title").alias("n_forms"))
+    return t.where("n_forms > 1")
+
+
+def article_references(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", F.explode(text.article_numbers("text")).alias("article"))
+    return t.groupBy("article").agg(F.count("*").alias("n_refs"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def text_markers(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "normalized_artifacts").select("raw_artifact_path", "normalized_text").distinct()
+    return a.select("raw_artifact_path", text.markers("normalized_text").alias("m"), text.duplicate_line_ratio("normalized_text").alias("duplicate_line_ratio")).select("raw_artifact_path", "m.*", "duplicate_line_ratio")
+
+
+def secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of secret-looking texts; the made-up ones are added to every 500th document."""
+    t = F.when(F.col("doc_id") % 500 == 0, F.concat("text", F.lit(" api_key=ABCDEF123456 password: hunter2"))).otherwise(F.col("text"))
+    x = table(spark, d, "documents").select("doc_id", t.alias("t")).where("t is not null")
+    return x.select("doc_id", F.array_join(text.secret_labels("t"), ",").alias("labels"), F.contains(text.redact("t"), F.lit("[password]")).alias("redacted")).where("labels <> ''")
+
+
+def language_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(text.looks_vietnamese("text").alias("vietnamese")).agg(F.count("*").alias("n"))
+
+
+# --- Validation ------------------------------------------------------------------------------------------------------
+
+
+def chunk_issues(spark: SparkSession, d: str) -> DataFrame:
+    return validate.counts(validate.issues(table(spark, d, "legal_chunks"), "chunk_id", validate.chunk_checks()), "code")
+
+
+def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    return validate.duplicates(table(spark, d, "legal_chunks"), "chunk_id", ["indexed_at"])
+
+
+def latest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return validate.latest(table(spark, d, "legal_chunks").select("chunk_id", "indexed_at", "law_id"), "chunk_id", "indexed_at").select("chunk_id", F.unix_micros("indexed_at").alias("indexed_us"))
+
+
+def text_length_summary(spark: SparkSession, d: str) -> DataFrame:
+    return validate.length_summary(table(spark, d, "legal_chunks"), "text")
+
+
+def text_length_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return validate.length_buckets(table(spark, d, "legal_chunks"), "text")
+
+
+def count_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    return validate.reconcile(table(spark, d, "legal_chunks"), table(spark, d, "hierarchy_nodes"), "law_id")
+
+
+def orphan_messages(spark: SparkSession, d: str) -> DataFrame:
+    return validate.orphans(table(spark, d, "conversation_messages"), table(spark, d, "conversations"), "conversation_id", "id")
+
+
+def registry_difference(spark: SparkSession, d: str) -> DataFrame:
+    return validate.set_difference(table(spark, d, "raw_pages"), table(spark, d, "legal_chunks"), "law_id")
+
+
+def contamination(spark: SparkSession, d: str) -> DataFrame:
+    return validate.contamination(table(spark, d, "normalized_artifacts").select("raw_artifact_path", "normalized_text").distinct(), "raw_artifact_path", ["normalized_text"], ["Đang trực tuyến", "Bản quyền thuộc về", "Giấy phép thiết lập trang"])
+
+
+def split_leakage(spark: SparkSession, d: str) -> DataFrame:
+    return validate.group_leakage(table(spark, d, "benchmark_queries"), "case_family_id", "split")
+
+
+def warning_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return validate.counts(table(spark, d, "legal_chunks").select(F.explode("warnings").alias("w")).select("w.code", "w.law_id"), "code", "law_id")
+
+
+def chunk_traceability(spark: SparkSession, d: str) -> DataFrame:
+    return validate.counts(validate.traceability(table(spark, d, "legal_chunks"), table(spark, d, "hierarchy_nodes")), "code")
+
+
+def reference_issues(spark: SparkSession, d: str) -> DataFrame:
+    return validate.reference_issues(table(spark, d, "hierarchy_nodes"))
+
+
+def stratification(spark: SparkSession, d: str) -> DataFrame:
+    return validate.stratification(table(spark, d, "benchmark_queries"), "split", ["primary_domain", "expected_decision", "review_status"], ["question_types"])
+
+
+def known_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose title is, but for punctuation and case, a conversation's title."""
+    return validate.known_texts(table(spark, d, "documents").select("doc_id", "title"), "title", table(spark, d, "conversations").select("title"), "title").select("doc_id")
+
+
+def message_metadata_gaps(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "conversation_messages")
+    return m.groupBy(F.array_join(validate.missing_json_keys(m, "metadata", ["decision", "latency_ms"]), ",").alias("missing")).agg(F.count("*").alias("n"))
+
+
+# --- Fingerprints ----------------------------------------------------------------------------------------------------
+
+
+def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprint.table_fingerprint(table(spark, d, "benchmark_queries").select("id", "query", "reference_answer", "split"))
+
+
+def point_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "legal_chunks").where("chunk_id is not null").select("chunk_id").distinct().select("chunk_id", fingerprint.point_id("chunk_id", "lexweave").alias("point_id"))
+
+
+def metadata_keys(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "conversation_messages").select(fingerprint.canonical_json("metadata").alias("canonical"))
+    return m.groupBy(F.json_object_keys("canonical").alias("k")).agg(F.count("*").alias("n")).select(F.array_join("k", ",").alias("keys"), "n")
+
+
+# --- Parsing ---------------------------------------------------------------------------------------------------------
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "normalized_artifacts").where("normalized_text is not null").groupBy(F.col("raw_artifact_path").alias("doc_id")).agg(F.max("normalized_text").alias("text"))
+    return materialize(chunking.parse(a))
+
+
+def parsed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).drop("text")
+
+
+def parsed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk(_parsed(spark, d)).drop("text", "parent_text")
+
+
+def parsed_tree_issues(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.tree_issues(_parsed(spark, d))
+
+
+def stored_tree_issues(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "hierarchy_nodes").select(F.col("source_file").alias("doc_id"), "node_id", F.lower("level").alias("level"), text.blank_to_null("parent_id").alias("parent_id"), "start_offset", "end_offset", "text").distinct()
+    return validate.counts(chunking.tree_issues(n), "code")
+
+
+def html_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return html.extract(table(spark, d, "raw_pages"), "raw_artifact_path").select("key", F.length("main_text").alias("n_chars"), "n_lines", "n_articles")
+
+
+def html_profile(spark: SparkSession, d: str) -> DataFrame:
+    return html.profile(table(spark, d, "raw_pages"), "raw_artifact_path")
+
+
+def cleaned_text(spark: SparkSession, d: str) -> DataFrame:
+    """Page text through the whole cleaning, by lengths and number of lines."""
+    a = cleaning.clean(table(spark, d, "normalized_artifacts").select("raw_artifact_path", "normalized_text").distinct(), "normalized_text")
+    return a.select("raw_artifact_path", F.length("normalized_text").alias("n_before"), F.length("clean_text").alias("n_after"), F.size(text.lines("clean_text")).alias("n_lines"))
+
+
+def plain_white_space(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(cleaning.plain_white_space(cleaning.plain_characters("text"))).alias("text_md5"))
+
+
+def embedding_inputs(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "legal_chunks").where(indexing.payload_filter(True, level="clause"))
+    return c.select("chunk_id", F.length(indexing.embedding_input("law_citation_text")).alias("n_input"), F.length(indexing.indexable_text()).alias("n_indexable")).distinct()
+
+
+def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "legal_chunks").select("chunk_id", "text").where("chunk_id is not null").distinct()
+    return dense.vector_diagnostics(indexing.embed(c, F.col("text"), indexing.hashed_encoder).where("embedding is not null"), "embedding")
+
+
+# --- Conversations ---------------------------------------------------------------------------------------------------
+
+
+def conversation_list(spark: SparkSession, d: str) -> DataFrame:
+    return conversation.conversation_list(table(spark, d, "conversations"), table(spark, d, "conversation_messages")).select("id", F.unix_micros("updated_at").alias("updated_us"), "n_messages")
+
+
+def last_messages(spark: SparkSession, d: str) -> DataFrame:
+    return conversation.last_messages(table(spark, d, "conversation_messages"), 6).select("conversation_id", "id", "role", "age")
+
+
+def rewritten_questions(spark: SparkSession, d: str) -> DataFrame:
+    return conversation.rewritten_questions(table(spark, d, "conversation_messages"))
+
+
+# --- Splits, streams -------------------------------------------------------------------------------------------------
+
+
+def split_components(spark: SparkSession, d: str) -> DataFrame:
+    return splits.components_by_fields(table(spark, d, "benchmark_queries"), "id", ["case_family_id"])
+
+
+def grouped_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.grouped_split(split_components(spark, d), {"development": 0.7, "held_out": 0.3})
+
+
+def rate_limited_events(spark: SparkSession, d: str) -> DataFrame:
+    return rate.rate_limit(table(spark, d, "events"), 3, 3600.0, "user_id", "event_id", "ts").select("key", "event_id", "allowed", "retry_after")
+
+
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    s = rate.session_counts(table(spark, d, "events"), "user_id", "ts", "2 hours")
+    return s.groupBy("key").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"), F.max("n").alias("largest"))
+
+
+FLAGSHIP = "bm25_topk"
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_trees, p2_descendants, p4_found, p4_per_law, p4_joined, bm25_corpus_stats, bm25_document_frequency, bm25_postings_by_doc, bm25_topk,
+        dense_topk, dense_topk_filtered, vector_diagnostics, rrf_hybrid_topk, quota_hybrid_topk, diverse_hybrid_topk, reranked_topk, fallback_topk,
+        retrieval_metrics_per_query, retrieval_metrics, retrieval_breakdowns, fusion_ablation, evidence_packets, evidence_prompts, citation_guard, text_keys,
+        near_duplicate_titles, article_references, text_markers, secret_scan, language_counts, chunk_issues, duplicate_keys, latest_chunks, text_length_summary,
+        text_length_buckets, count_reconciliation, orphan_messages, registry_difference, contamination, split_leakage, warning_histogram, chunk_traceability, reference_issues, stratification, known_titles, message_metadata_gaps, html_profile, table_fingerprint,
+        point_ids, metadata_keys, parsed_nodes, parsed_chunks, parsed_tree_issues, stored_tree_issues, html_main_text, cleaned_text, plain_white_space, embedding_inputs, hashed_embeddings, conversation_list, last_messages,
+        rewritten_questions, split_components, grouped_split, rate_limited_events, event_sessions,
+    )
+}
 
 _TREE_SQL = r"""
     WITH RECURSIVE n AS (
@@ -73,4 +423,5 @@ SQL = {
         SELECT law_id, count(DISTINCT c) AS n_left, count(DISTINCT a) AS n_right, count(*) AS n_joined, coalesce(sum(lc), 0)::BIGINT AS left_size_joined, coalesce(sum(la), 0)::BIGINT AS right_size_joined
         FROM (SELECT law_id, row_number() OVER () AS c, length(text) AS lc FROM legal_chunks) JOIN (SELECT law_id, row_number() OVER () AS a, length(normalized_text) AS la FROM normalized_artifacts) USING (law_id)
         GROUP BY law_id""",
+    **oracle.SQL,
 }
