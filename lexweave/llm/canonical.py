@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 # Characters that are not seen (default-ignorable code points and invisible format controls).
 IGNORABLE = re.compile(
-    "[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￻\U000e0000-\U000e0fff]"
+    r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￻\U000e0000-\U000e0fff]"
 )
 # Letters of other scripts (or other Latin letters) that look like a Latin letter, from the public confusables data.
 LOOKALIKES = {

@@ -142,7 +142,6 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str, block_tokens:
         [(s, int(all_of[s]), want[s][0], want[s][1], int(want[s][1] * all_of[s]), want[s][1] * all_of[s] < want[s][0] * total, int(quota[s])) for s in names],
         "source string, size_tokens long, target_share double, max_repeats int, reachable_tokens long, short boolean, quota_blocks long",
     )
-    whole = got.agg(F.sum("got_tokens").alias("whole"))
-    report = head.join(F.broadcast(got), "source", "left").join(F.broadcast(whole))
-    got_tokens = F.coalesce("got_tokens", F.lit(0))
-    return picked, report.select(*head.columns, got_tokens.alias("got_tokens"), F.coalesce(F.round(got_tokens / F.col("whole"), 6), F.lit(0.0)).alias("got_share"))
+    report = head.join(F.broadcast(got), "source", "left").withColumn("got_tokens", F.coalesce("got_tokens", F.lit(0)))
+    whole = F.sum("got_tokens").over(Window.partitionBy(F.lit(0)))  # over at most 10,000 rows
+    return picked, report.withColumn("got_share", F.coalesce(F.round(F.try_divide(F.col("got_tokens"), whole), 6), F.lit(0.0)))
