@@ -65,3 +65,26 @@ def delete_cascade(conversations: DataFrame, messages: DataFrame, ids: DataFrame
     """Both tables without the conversations in ``ids`` (column id)."""
     gone = ids.select("id").distinct()
     return conversations.join(gone, "id", "left_anti"), messages.join(gone.withColumnRenamed("id", "conversation_id"), "conversation_id", "left_anti")
+
+
+def fetch(conversations: DataFrame, messages: DataFrame, conversation_id: str, owner_id: str | None = None) -> DataFrame:
+    """The messages of one conversation in order; none if it isn't there or another owner's. The filters reach the scans."""
+    c = conversations.where(F.col("id") == F.lit(conversation_id))
+    if owner_id is not None:
+        c = c.where(F.col("owner_id") == F.lit(owner_id))
+    m = distinct_messages(messages.where(F.col("conversation_id") == F.lit(conversation_id)))
+    return m.join(c.select(F.col("id").alias("conversation_id")).distinct(), "conversation_id", "left_semi").orderBy("created_at", "id")
+
+
+def appended(conversations: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after new messages: known message ids and unknown conversations are refused, updated_at moves on."""
+    fresh = new.join(messages.select("id"), "id", "left_anti").join(conversations.select(F.col("id").alias("conversation_id")).distinct(), "conversation_id", "left_semi").select(*messages.columns)
+    last = fresh.groupBy(F.col("conversation_id").alias("id")).agg(F.max("created_at").alias("_last"))
+    c = conversations.join(last, "id", "left").withColumn("updated_at", F.greatest("updated_at", "_last")).select(*conversations.columns)
+    return c, messages.unionByName(fresh)
+
+
+def retitled(conversations: DataFrame, titles: DataFrame) -> DataFrame:
+    """Conversations with new titles (id, owner_id, title) where the owner agrees."""
+    t = titles.groupBy("id", "owner_id").agg(F.max("title").alias("_title"))
+    return conversations.join(t, ["id", "owner_id"], "left").withColumn("title", F.coalesce("_title", "title")).select(*conversations.columns)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.session import in_sets
+
 QUERIES_PER_PASS = 4096
 
 
@@ -61,7 +63,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
     Queries go to all tasks QUERIES_PER_PASS at a time; each partition keeps k rows per query."""
     rows = queries.select(F.col(key).cast("bigint").alias("id"), l2_normalize(vector).alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: F.isnan(x))).dropDuplicates(["id"])
     found = None
-    for part in _passes(rows):
+    for part in in_sets(rows, "id", QUERIES_PER_PASS):
         part = [r for r in part if len(r["v"]) == len(part[0]["v"])]
         ids, q = np.array([r["id"] for r in part], np.int64), np.array([r["v"] for r in part], np.float64)
         base = vectors.select(F.col(key).cast("bigint").alias("doc_id"), l2_normalize(vector).alias("v")).where((F.size("v") == q.shape[1]) & ~F.exists("v", lambda x: F.isnan(x)) & F.col("doc_id").isNotNull())
@@ -71,14 +73,3 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
         found = vectors.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
-
-
-def _passes(rows: DataFrame) -> Iterator[list]:
-    part: list = []
-    for r in rows.sort("id").toLocalIterator():
-        part.append(r)
-        if len(part) == QUERIES_PER_PASS:
-            yield part
-            part = []
-    if part:
-        yield part

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.session import spread
+
 BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 div br tr td th article section main body header footer nav aside ul ol table form figure".split())
 SKIPPED = frozenset("script style noscript template svg head iframe".split())
 FURNITURE = frozenset("nav aside footer header form".split())
@@ -84,7 +86,7 @@ def extract(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(out, pa.string()), pa.array([len(x.split("\n")) if x else 0 for x in out], pa.int32()), pa.array([len(_ARTICLE.findall(x)) for x in out], pa.int32())], names=["key", "main_text", "n_lines", "n_articles"])
 
     kind = dict(pages.dtypes)[key]
-    return pages.select(F.col(key).alias("key"), F.col(html)).where(F.col("key").isNotNull() & F.col(html).isNotNull()).mapInArrow(run, f"key {kind}, main_text string, n_lines int, n_articles int")
+    return spread(pages.select(F.col(key).alias("key"), F.col(html)).where(F.col("key").isNotNull() & F.col(html).isNotNull())).mapInArrow(run, f"key {kind}, main_text string, n_lines int, n_articles int")
 
 
 def profile(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -98,4 +100,4 @@ def profile(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
             yield pa.record_batch([b.column(0), count(lambda r: 1), count(lambda r: r[1]), count(lambda r: r[2]), count(art), count(lambda r: r[1] and art(r))], names=["key", "n_lines", "n_main", "n_furniture", "n_articles", "n_articles_main"])
 
     kind = dict(pages.dtypes)[key]
-    return pages.select(F.col(key).alias("key"), F.col(html)).where(F.col("key").isNotNull() & F.col(html).isNotNull()).mapInArrow(run, f"key {kind}, n_lines int, n_main int, n_furniture int, n_articles int, n_articles_main int")
+    return spread(pages.select(F.col(key).alias("key"), F.col(html)).where(F.col("key").isNotNull() & F.col(html).isNotNull())).mapInArrow(run, f"key {kind}, n_lines int, n_main int, n_furniture int, n_articles int, n_articles_main int")

@@ -75,3 +75,31 @@ def embed(df: DataFrame, content: Column, make_encoder: Callable[[], Callable[[l
 def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key no earlier run has finished."""
     return df.join(done.select(key).distinct(), key, "left_anti")
+
+
+def index_run(chunks: DataFrame, path: str, key: str, content: Column, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], batches: int = 1) -> dict[str, int]:
+    """Embeds what the index at ``path`` lacks and puts it there, in ``batches`` commits by hash of the key; a run that
+    broke off goes on where it was, and a finished one changes nothing. Returns counts before and after."""
+    from lexweave.sources.files import upsert_parquet
+
+    spark = chunks.sparkSession
+
+    def stored() -> DataFrame | None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # there is no index yet
+            return None
+
+    before = stored()
+    n_before = 0 if before is None else before.count()
+    todo = chunks.where(F.col(key).isNotNull()).dropDuplicates([key])
+    for b in range(batches):
+        part = todo.where(F.pmod(F.xxhash64(key), F.lit(batches)) == b)
+        now = stored()
+        if now is not None:
+            part = remaining(part, now, key)
+        rows = embed(part, content, make_encoder).where("embedding is not null")
+        if not rows.isEmpty():
+            upsert_parquet(spark, path, rows, key)
+    after = stored()
+    return {"before": n_before, "after": 0 if after is None else after.count()}

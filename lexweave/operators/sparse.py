@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text
+from lexweave.functions.words import hash_words
+from lexweave.session import in_sets, spread
 
 K1, B = 1.5, 0.75
 #: Queries scored in one pass over the corpus; more queries take further passes.
@@ -37,85 +38,84 @@ def document_frequency(docs: DataFrame, doc_id: str, content: str) -> DataFrame:
     return tokenized(docs, doc_id, content).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _score(batches: Iterable[pa.RecordBatch], index: dict[str, int], weights: np.ndarray, avgdl: float, k: int, ids: list) -> Iterator[pa.RecordBatch]:
+def _numbers(texts: list, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document number and term number of each word that is a term, number of words of each text)."""
+    h, n = hash_words(texts)
+    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    hit = terms[at] == h
+    return np.repeat(np.arange(len(n)), n)[hit], at[hit], n
+
+
+def _statistics(batches: Iterable[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Documents of each term; at -1 the number of documents with a word, at -2 the number of words."""
+    df, docs, words = np.zeros(len(terms), np.int64), 0, 0
+    for b in batches:
+        for lo in range(0, b.num_rows, 1024):
+            doc, term, n = _numbers(b.column(1).slice(lo, 1024).to_pylist(), terms)
+            df += np.bincount(np.unique(doc * len(terms) + term) % len(terms), minlength=len(terms))
+            docs += int((n > 0).sum())
+            words += int(n.sum())
+    at = np.nonzero(df)[0]
+    yield pa.record_batch([pa.array([*at.tolist(), -1, -2], pa.int32()), pa.array([*df[at].tolist(), docs, words], pa.int64())], names=["term", "n"])
+
+
+def _score(batches: Iterable[pa.RecordBatch], terms: np.ndarray, weights: np.ndarray, avgdl: float, k: int, ids: list) -> Iterator[pa.RecordBatch]:
     """The k best documents of every query in this partition, ties by id. ``weights``: idf times query frequency, terms x queries."""
     doc_type = None
-    best_s: list[list[float]] = [[] for _ in ids]
-    best_d: list[list] = [[] for _ in ids]
-
-    def keep(scores: np.ndarray, docs: list) -> None:
-        for q in np.nonzero(scores.max(0) > 0)[0]:
-            s = scores[:, q]
-            hit = np.nonzero(s > 0)[0]
-            if len(best_s[q]) >= k:
-                hit = hit[s[hit] >= best_s[q][-1]]
-            if not len(hit):
-                continue
-            merged = sorted([*zip(best_s[q], best_d[q]), *((float(s[i]), docs[i]) for i in hit)], key=lambda t: (-t[0], t[1]))[:k]
-            best_s[q], best_d[q] = [t[0] for t in merged], [t[1] for t in merged]
-
+    best: list[list[tuple[float, object]]] = [[] for _ in ids]
     for b in batches:
         doc_type = b.column(0).type
         for lo in range(0, b.num_rows, 1024):
             part = b.slice(lo, 1024)
-            rows, cols, vals = [], [], []
-            for i, (toks, dl) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                norm = K1 * (1 - B + B * dl / max(avgdl, 1.0))
-                for t, tf in Counter(x for x in map(index.get, toks) if x is not None).items():
-                    rows.append(i)
-                    cols.append(t)
-                    vals.append(tf * (K1 + 1) / (tf + norm))
-            dense = np.zeros((part.num_rows, len(index)))
-            dense[rows, cols] = vals
-            keep(np.round(dense @ weights, 6), part.column(0).to_pylist())
+            doc, term, n = _numbers(part.column(1).to_pylist(), terms)
+            tf = np.bincount(doc * len(terms) + term, minlength=len(n) * len(terms)).reshape(len(n), -1).astype(np.float64)
+            norm = K1 * (1 - B + B * n / max(avgdl, 1.0))
+            s = np.round((tf * (K1 + 1) / (tf + norm[:, None])) @ weights, 6)
+            # Only scores that reach the k-th best of the block and of what is held can matter.
+            floor = -np.partition(np.ascontiguousarray(-s.T), k - 1, axis=1)[:, k - 1] if len(n) > k else np.zeros(len(ids))
+            floor = np.maximum(floor, [x[-1][0] if len(x) >= k else 0.0 for x in best])
+            docs = part.column(0).to_pylist()
+            rows, cols = np.nonzero((s >= floor) & (s > 0))
+            fresh: dict[int, list] = {}
+            for i, q, x in zip(rows.tolist(), cols.tolist(), s[rows, cols].tolist()):
+                fresh.setdefault(q, []).append((x, docs[i]))
+            for q, found in fresh.items():
+                best[q] = sorted(best[q] + found, key=lambda t: (-t[0], t[1]))[:k]
     if doc_type is not None:
-        q = [i for i, s in enumerate(best_s) for _ in s]
-        yield pa.record_batch([pa.array([ids[i] for i in q]), pa.array([d for x in best_d for d in x], doc_type), pa.array([s for x in best_s for s in x], pa.float64())], names=["query_id", "doc_id", "score"])
+        flat = [(ids[q], d, x) for q, found in enumerate(best) for x, d in found]
+        q_ids, d_ids, scores = zip(*flat) if flat else ((), (), ())
+        yield pa.record_batch([pa.array(q_ids, pa.array(ids).type), pa.array(d_ids, doc_type), pa.array(scores, pa.float64())], names=["query_id", "doc_id", "score"])
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", content: str = "text", query_id: str = "id", query: str = "query") -> DataFrame:
     """(query_id, doc_id, rank, score): the k best documents of every query by (score desc, doc_id); scores have six
     decimals. Documents without a query term, blank texts and blank queries give no row.
 
-    Every partition scores its documents against all queries and keeps its k best of each, so that the shuffle carries k
+    Words are compared by 64-bit hashes. Every partition scores its documents against all queries and keeps its k best of each, so that the shuffle carries k
     rows per query and partition instead of one per query and document. Queries are taken QUERIES_PER_PASS at a time.
     """
     spark = docs.sparkSession
-    toks = tokenized(docs, doc_id, content)
+    base = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
     q_type, d_type = dict(queries.dtypes)[query_id], dict(docs.dtypes)[doc_id]
     schema = f"query_id {q_type}, doc_id {d_type}, score double"
-    asked = queries.select(F.col(query_id).alias("query_id"), text.tokens(query).alias("q")).where("query_id is not null and size(q) > 0").dropDuplicates(["query_id"])
-    stats = corpus_statistics(docs, doc_id, content).first()
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("q")).where(F.col("query_id").isNotNull() & F.col("q").isNotNull()).dropDuplicates(["query_id"])
     found = None
-    for part in _passes(asked):
-        terms = sorted({t for r in part for t in r["q"]})
-        vocabulary = spark.createDataFrame([(t,) for t in terms], "term string")
-        seen = toks.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df")).collect()
-        df = {r["term"]: r["df"] for r in seen}
-        index = {t: i for i, t in enumerate(t for t in terms if t in df)}
-        if not index:
+    for part in in_sets(asked, "query_id", QUERIES_PER_PASS):
+        h, n = hash_words([r["q"] for r in part])
+        terms = np.unique(h)
+        if not len(terms):
             continue
-        n = stats["n_docs"]
-        weights = np.zeros((len(index), len(part)))
-        for j, r in enumerate(part):
-            for t, f in Counter(r["q"]).items():
-                if t in index:
-                    weights[index[t], j] = f * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
-        ids = [r["query_id"] for r in part]
-        hits = toks.select("doc_id", "tokens", "dl").mapInArrow(lambda it, a=index, w=weights, i=ids: _score(it, a, w, stats["avgdl"], k, i), schema)
+        seen = base.mapInArrow(lambda it, t=terms: _statistics(it, t), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        df = {r["term"]: r["n"] for r in seen}
+        n_docs = df.get(-1, 0)
+        weights = np.zeros((len(terms), len(part)))
+        np.add.at(weights, (np.searchsorted(terms, h), np.repeat(np.arange(len(n)), n)), 1.0)
+        held = np.array([df.get(i, 0) for i in range(len(terms))], np.float64)
+        weights *= np.log(1 + (n_docs - held + 0.5) / (held + 0.5))[:, None]
+        ids, avgdl = [r["query_id"] for r in part], df.get(-2, 0) / max(1, n_docs)
+        hits = base.mapInArrow(lambda it, t=terms, w=weights, a=avgdl, i=ids: _score(it, t, w, a, k, i), schema)
         found = hits if found is None else found.unionAll(hits)
     if found is None:
         found = spark.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
-
-
-def _passes(asked: DataFrame) -> Iterator[list]:
-    part: list = []
-    for r in asked.sort("query_id").toLocalIterator():
-        part.append(r)
-        if len(part) == QUERIES_PER_PASS:
-            yield part
-            part = []
-    if part:
-        yield part

@@ -230,4 +230,33 @@ SQL = {
     "message_metadata_gaps": """
         SELECT concat_ws(',', CASE WHEN NOT list_contains(k, 'decision') THEN 'decision' END, CASE WHEN NOT list_contains(k, 'latency_ms') THEN 'latency_ms' END) AS missing, count(*) AS n
         FROM (SELECT coalesce(json_keys(metadata), []) AS k FROM conversation_messages) GROUP BY 1""",
+    "crawl_selection": """
+        WITH r AS (SELECT DISTINCT law_id, tier, source_type, raw_artifact_path AS p FROM raw_pages), x AS (SELECT CASE WHEN coalesce(tier NOT IN (1, 2, 3), true) THEN 'not_in_tier'
+            WHEN coalesce(source_type <> 'html', true) THEN 'not_in_source_type' WHEN p IN (SELECT raw_artifact_path FROM normalized_artifacts WHERE raw_artifact_path IS NOT NULL) THEN 'already_there' END AS skip_reason FROM r)
+        SELECT skip_reason, count(*) AS n FROM x GROUP BY 1""",
+    "page_audit": " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{k}' AS code, count(*) AS n FROM raw_pages WHERE {c}) WHERE n > 0"
+        for k, c in {
+            "LAW_ID_MISSING": _NULLIF.format("law_id") + " IS NULL",
+            "URL_MISSING": _NULLIF.format("url") + " IS NULL",
+            "STATUS_NOT_SUCCESS": "coalesce(crawl_status <> 'success', true)",
+            "HTTP_NOT_OK": "coalesce(http_status <> 200, true)",
+            "HASH_NOT_SHA256": "coalesce(NOT regexp_matches(content_hash, '^[0-9a-f]{64}$'), true)",
+            "HTML_MISSING": "html IS NULL",
+            "HTML_SHORT": "length(html) < 500",
+            "HTML_CUT_OFF": "NOT ends_with(trim(html), '</html>')",
+            "ERROR_PAGE": "regexp_matches(lower(substr(coalesce(html, ''), 1, 2048)), '404 not found|access denied|403 forbidden')",
+            "DOMAIN_NOT_TRUSTED": "url IS NOT NULL AND NOT regexp_matches(url, '^https?://([^/]*[.])?(mau|thu)[.]example(/|$)')",
+        }.items()
+    ),
+    "raw_vs_cleaned": """
+        WITH r AS (SELECT raw_artifact_path AS key, max(length(html)) AS raw_chars FROM raw_pages WHERE raw_artifact_path IS NOT NULL AND html IS NOT NULL GROUP BY 1),
+        c AS (SELECT raw_artifact_path AS key, max(length(normalized_text)) AS clean_chars FROM normalized_artifacts WHERE raw_artifact_path IS NOT NULL AND normalized_text IS NOT NULL GROUP BY 1),
+        j AS (SELECT *, round(coalesce(clean_chars / nullif(raw_chars, 0)::DOUBLE, 0), 4) AS ratio FROM r JOIN c USING (key))
+        SELECT *, CASE WHEN ratio < 0.2 THEN 'possibly_incomplete' WHEN ratio > 0.85 THEN 'possibly_uncleaned' END AS flag FROM j""",
+    "corpus_inventory": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("documents", "legal_chunks", "hierarchy_nodes", "normalized_artifacts", "raw_pages", "conversations", "conversation_messages", "benchmark_queries")),
+    "line_noise": """
+        WITH a AS (SELECT DISTINCT raw_artifact_path, coalesce(normalized_text, '') AS t FROM normalized_artifacts),
+        b AS (SELECT raw_artifact_path, [x FOR x IN string_split(t, chr(10)) IF trim(x) <> ''] AS ls FROM a)
+        SELECT raw_artifact_path, round(coalesce(len([x FOR x IN ls IF contains(lower(x), 'đang trực tuyến') OR contains(lower(x), 'bản quyền') OR contains(lower(x), 'trang chủ') OR contains(lower(x), 'tải bản')]) / nullif(len(ls), 0)::DOUBLE, 0), 4) AS noise FROM b""",
 }

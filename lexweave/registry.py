@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave import oracle
 from lexweave.functions import text
-from lexweave.operators import chunking, cleaning, conversation, dense, evidence, fingerprint, fusion, hierarchy, html, indexing, metrics, skew, sparse, splits, validate
+from lexweave.operators import audit, chunking, cleaning, conversation, dense, evidence, fingerprint, fusion, hierarchy, html, indexing, metrics, skew, sparse, splits, validate
 from lexweave.plans import hybrid
 from lexweave.session import materialize, table
 from lexweave.streaming import rate
@@ -270,6 +270,33 @@ def message_metadata_gaps(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy(F.array_join(validate.missing_json_keys(m, "metadata", ["decision", "latency_ms"]), ",").alias("missing")).agg(F.count("*").alias("n"))
 
 
+DOMAINS = ["mau.example", "thu.example", "giadinh.example"]
+
+
+def crawl_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Raw pages by the rule that leaves them out: tier, source type, and artifacts that are there already."""
+    r = table(spark, d, "raw_pages").select("law_id", "tier", "source_type", "raw_artifact_path").distinct()
+    s = audit.select_targets(r, {"tier": [1, 2, 3], "source_type": ["html"]}, table(spark, d, "normalized_artifacts"), "raw_artifact_path")
+    return validate.counts(s, "skip_reason")
+
+
+def page_audit(spark: SparkSession, d: str) -> DataFrame:
+    return validate.counts(validate.issues(table(spark, d, "raw_pages"), "raw_artifact_path", audit.page_checks(domains=DOMAINS[:2])), "code")
+
+
+def raw_vs_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return audit.raw_and_cleaned(table(spark, d, "raw_pages"), table(spark, d, "normalized_artifacts"))
+
+
+def corpus_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return audit.inventory({t: table(spark, d, t) for t in ("documents", "legal_chunks", "hierarchy_nodes", "normalized_artifacts", "raw_pages", "conversations", "conversation_messages", "benchmark_queries")})
+
+
+def line_noise(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "normalized_artifacts").select("raw_artifact_path", "normalized_text").distinct()
+    return a.select("raw_artifact_path", audit.line_noise("normalized_text", ["Đang trực tuyến", "Bản quyền", "Trang chủ", "Tải bản"]).alias("noise"))
+
+
 # --- Fingerprints ----------------------------------------------------------------------------------------------------
 
 
@@ -382,7 +409,7 @@ QUERIES = {
         dense_topk, dense_topk_filtered, vector_diagnostics, rrf_hybrid_topk, quota_hybrid_topk, diverse_hybrid_topk, reranked_topk, fallback_topk,
         retrieval_metrics_per_query, retrieval_metrics, retrieval_breakdowns, fusion_ablation, evidence_packets, evidence_prompts, citation_guard, text_keys,
         near_duplicate_titles, article_references, text_markers, secret_scan, language_counts, chunk_issues, duplicate_keys, latest_chunks, text_length_summary,
-        text_length_buckets, count_reconciliation, orphan_messages, registry_difference, contamination, split_leakage, warning_histogram, chunk_traceability, reference_issues, stratification, known_titles, message_metadata_gaps, html_profile, table_fingerprint,
+        text_length_buckets, count_reconciliation, orphan_messages, registry_difference, contamination, split_leakage, warning_histogram, chunk_traceability, reference_issues, stratification, known_titles, message_metadata_gaps, crawl_selection, page_audit, raw_vs_cleaned, corpus_inventory, line_noise, html_profile, table_fingerprint,
         point_ids, metadata_keys, parsed_nodes, parsed_chunks, parsed_tree_issues, stored_tree_issues, html_main_text, cleaned_text, plain_white_space, embedding_inputs, hashed_embeddings, conversation_list, last_messages,
         rewritten_questions, split_components, grouped_split, rate_limited_events, event_sessions,
     )

@@ -6,8 +6,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -38,6 +40,23 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned frame over at least as many partitions as there are cores, for work that is heavy per row. Only an input
+    of fewer files and splits than cores is dealt out anew; a larger one stays where it was read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def in_sets(rows: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
+    """The rows of a stated query set, sorted by key, in sets of about ``size`` by hash of the key; none is empty."""
+    n = rows.count()
+    sets = max(1, -(-n // size))
+    for b in range(sets):
+        own = rows if sets == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(sets)) == b)
+        if got := sorted(own.collect(), key=lambda r: r[key]):
+            yield got
+
+
 def release(spark: SparkSession) -> None:
     """Remove every folder that :func:`materialize` made in this session."""
     keep = []

@@ -134,3 +134,48 @@ def test_upsert(spark, tmp_path):
         files.upsert_parquet(spark, path, b, "id", 4)
     got = {r["id"]: r["v"] for r in spark.read.parquet(path).collect()}
     assert len(got) == 31 and got["k3"] == 300 and got["k4"] == 4
+
+
+def test_targets_and_domains(spark):
+    from lexweave.operators import audit
+
+    t = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 1), (None, 1)], "law_id string, tier int")
+    got = {r["law_id"]: r["skip_reason"] for r in audit.select_targets(t, {"tier": [1], "law_id": []}, t.where("law_id = 'd'")).collect()}
+    assert got == {"a": None, "b": "not_in_tier", "c": "not_in_tier", "d": "already_there", None: None}
+    u = spark.createDataFrame([("https://x.a.example/p",), ("https://a.example.evil/p",), ("no url",), (None,)], "u string")
+    assert [r[0] for r in u.select(audit.trusted("u", ["a.example"])).collect()] == [True, False, False, False]
+
+
+def test_store_updates(spark):
+    c = spark.createDataFrame([("c", "o", "t", 5), ("d", "o", "t", 1)], "id string, owner_id string, title string, updated_at int")
+    m = spark.createDataFrame([("1", "c", "user", "x", 4)], "id string, conversation_id string, role string, content string, created_at int")
+    new = spark.createDataFrame([("1", "c", "user", "again", 9), ("2", "c", "user", "y", 7), ("3", "zz", "user", "z", 8)], "id string, conversation_id string, role string, content string, created_at int")
+    c2, m2 = conversation.appended(c, m, new)
+    assert {(r["id"], r["updated_at"]) for r in c2.collect()} == {("c", 7), ("d", 1)} and {r["id"] for r in m2.collect()} == {"1", "2"}
+    assert [r["id"] for r in conversation.fetch(c, m2, "c", "o").collect()] == ["1", "2"] and conversation.fetch(c, m2, "c", "other").count() == 0
+    t = spark.createDataFrame([("c", "o", "new"), ("d", "other", "no")], "id string, owner_id string, title string")
+    assert {(r["id"], r["title"]) for r in conversation.retitled(c, t).collect()} == {("c", "new"), ("d", "t")}
+
+
+def test_index_run_resumes(spark, tmp_path):
+    from lexweave.operators import indexing
+
+    path = str(tmp_path / "index")
+    df = spark.createDataFrame([(f"k{i}", f"từ {i}" if i % 5 else None) for i in range(20)] + [(None, "x")], "id string, text string")
+    first = indexing.index_run(df.where("id < 'k15'"), path, "id", F.col("text"), indexing.hashed_encoder, 2)
+    second = indexing.index_run(df, path, "id", F.col("text"), indexing.hashed_encoder)
+    assert first["before"] == 0 and second == {"before": first["after"], "after": 16}
+    assert indexing.index_run(df, path, "id", F.col("text"), indexing.hashed_encoder) == {"before": 16, "after": 16}
+
+
+def test_page_folder_source(spark, tmp_path):
+    from lexweave.sources.pages import PageFolders
+
+    for law, sub, body in (("L1", "latest", "mới"), ("L1", "", "cũ"), ("L2", "", "hai")):
+        d = tmp_path / law / sub
+        d.mkdir(parents=True, exist_ok=True)
+        (d / "main.html").write_text(body, "utf-8")
+    (tmp_path / "L3").mkdir()
+    spark.dataSource.register(PageFolders)
+    got = spark.read.format("page_folders").option("foldersPerPartition", 1).load(str(tmp_path)).collect()
+    assert {(r["law_id"], r["layout"], r["html"]) for r in got} == {("L1", "latest", "mới"), ("L2", "flat", "hai")}
