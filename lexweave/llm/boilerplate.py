@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.canonical import canonical
+from lexweave.session import spread
 
 WINDOW = 3
 # Forms of lines in statutes (Vietnamese and English).
@@ -175,7 +176,7 @@ def page_lines(pages: DataFrame, logp: np.ndarray, kept: bool, key: str = "raw_a
 
     One page is one task's row, never shuffled; equal rows of a page give their lines once. Null keys or texts give no row.
     """
-    p = pages.select(F.col(key).cast("string"), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    p = spread(pages.select(F.col(key).cast("string"), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()))
     return p.mapInArrow(lambda it: _lines(it, logp, kept), "raw_artifact_path string, line_no bigint, line string")
 
 
@@ -187,5 +188,5 @@ def main_text(pages: DataFrame, logp: np.ndarray, key: str = "raw_artifact_path"
             out = ["\n".join(x for x, ok in zip(t.split("\n"), content_mask(t, logp)) if ok).strip("\n") for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["raw_artifact_path", "main_text"])
 
-    p = pages.select(F.col(key).cast("string"), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    p = spread(pages.select(F.col(key).cast("string"), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()))
     return p.mapInArrow(run, "raw_artifact_path string, main_text string")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.session import spread
+
 # Characters that are not seen (default-ignorable code points and invisible format controls).
 IGNORABLE = re.compile(
     r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￻\U000e0000-\U000e0fff]"
@@ -191,7 +193,7 @@ def train(*texts: DataFrame) -> np.ndarray:
     k = len(ALPHABET)
     counts = np.zeros(k * k, np.int64)
     for df in texts:
-        rows = df.mapInArrow(_bigrams, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+        rows = spread(df).mapInArrow(_bigrams, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
         for r in rows:
             counts[r["pair"]] += r["n"]
     return log_scores(counts)
@@ -224,8 +226,7 @@ def _changed(batches: Iterable[pa.RecordBatch], logp: np.ndarray) -> Iterator[pa
 def nonstandard(df: DataFrame, key: str, text: str, logp: np.ndarray) -> DataFrame:
     """Keys of the rows whose text is not in canonical form, once each. Null keys and null texts give no row."""
     return (
-        df.select(F.col(key).cast("string"), F.col(text))
-        .where(F.col(key).isNotNull() & F.col(text).isNotNull())
+        spread(df.select(F.col(key).cast("string"), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()))
         .mapInArrow(lambda it: _changed(it, logp), "record_key string")
         .distinct()
     )

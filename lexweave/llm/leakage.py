@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.words import word_hashes
+from lexweave.session import in_sets, spread
 
 #: BM25 parameters; items in a block of postings; items in an index (a further index is made beyond it).
 K1, B = 1.2, 0.75
@@ -134,9 +135,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, logp: np.ndarray, run: int = 1
     kind = dict(docs.dtypes)[doc_id]
     schema = f"doc_id {kind}, item_id string"
     rows = items.where(F.col(item_id).isNotNull()).groupBy(F.col(item_id).cast("string").alias("id")).agg(*[F.collect_set(f).alias(f"f{k}") for k, f in enumerate(fields)])
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    base = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null"))
     out = None
-    for part in _in_sets(rows):
+    for part in in_sets(rows, "id", INDEX_ITEMS):
         index = ItemIndex([(r["id"], _split(*word_hashes([t for k in range(len(fields)) for t in r[f"f{k}"]], logp))) for r in part], run)
         found = base.mapInArrow(lambda it, ix=index: _scan(it, ix, logp), schema)
         out = found if out is None else out.unionAll(found)
@@ -147,14 +148,3 @@ def find_leaks(docs: DataFrame, items: DataFrame, logp: np.ndarray, run: int = 1
 
 def _split(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return np.split(h, np.cumsum(n)[:-1]) if len(n) else []
-
-
-def _in_sets(rows: DataFrame) -> Iterator[list]:
-    part: list = []
-    for r in rows.sort("id").toLocalIterator():
-        part.append(r)
-        if len(part) == INDEX_ITEMS:
-            yield part
-            part = []
-    if part:
-        yield part

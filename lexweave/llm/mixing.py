@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.session import materialize
+from lexweave.session import materialize, spread
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None) -> list[int]:
@@ -88,7 +88,7 @@ def sized(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     """(doc_id, source, tokens, shard, draw) of every document: shard and draw are seeded hashes of the key, so a hot
     source spreads over all shards and the order inside a shard does not depend on the files' layout."""
     h = F.xxhash64(F.lit(seed), F.col(key))
-    return docs.select(
+    return spread(docs.select(F.col(key).alias(key), F.col(text).alias(text), F.col(source).alias(source))).select(
         F.col(key).alias("doc_id"), source_key(source).alias("source"), count_tokens(tokenizer_path)(F.col(text)).alias("tokens"), F.pmod(h, F.lit(n_shards)).cast("int").alias("shard"), F.xxhash64(F.lit(seed), F.lit("draw"), F.col(key)).alias("draw")
     )
 

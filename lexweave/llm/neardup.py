@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.words import mix, word_hashes
-from lexweave.session import materialize
+from lexweave.session import materialize, spread
 
 #: Of the min-hash signature: values in a segment, and segments.
 PLACES, SEGMENTS = 5, 20
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, logp: np.ndarray, key: str = "doc_id", text
     sets at least ``threshold``, found by the ``signature`` (see the module's text on what each guarantees). Null ids and texts take no part; repeated rows count once.
     """
     kind = dict(docs.dtypes)[key]
-    d = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    d = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null"))
     sets = materialize(d.mapInArrow(lambda it: _sets(it, shingle, min_words, logp), f"id {kind}, c1 bigint, c2 bigint, shingles array<bigint>"))
     reps = materialize(sets.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.any_value("shingles").alias("shingles")))
     members = sets.select("id", "c1", "c2").distinct().join(reps.select("c1", "c2", "class_id"), ["c1", "c2"]).select("id", "class_id")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.canonical import _COMPAT, IGNORABLE
+from lexweave.session import spread
 
 # Frequent function words of Vietnamese (with and without accents) and English.
 _VI = "và của là có các được cho trong theo với không khi này một người tại từ do thì đã về để đến phải hoặc nếu trên những bên việc quy định trường hợp ngày nhưng sau trước cần như bị ở mà"
@@ -275,5 +276,5 @@ def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """(doc_id, lang, stats, distance, contributions, kind) of every document with text. Null or blank texts have no row;
     repeated rows keep theirs. A pass over the documents without shuffle."""
     kind = dict(docs.dtypes)[doc_id]
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S") & F.col("doc_id").isNotNull())
+    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S") & F.col("doc_id").isNotNull()))
     return d.mapInArrow(lambda it: _judge(it, model), f"doc_id {kind}, lang string, stats array<double>, distance double, contributions array<double>, kind string")

@@ -1,84 +1,27 @@
-"""Words of many texts at once as 64-bit hashes: canonical form, lower-cased, runs of letters and digits."""
+"""Words in canonical form, lower-cased, as 64-bit hashes."""
 
 from __future__ import annotations
 
 import numpy as np
 
+from lexweave.functions.words import END, TOP, hash_words, mix, points
 from lexweave.llm.canonical import _LATIN, canonical
 
-_U = np.uint64
-_END = "\x00"
-_TOP = 0x32000
-_WORD = np.array([chr(i).isalnum() for i in range(_TOP)])
 #: Characters that make a text odd, that is, worth a look by canonical().
-_ODD = np.ones(_TOP, bool)
+_ODD = np.ones(TOP, bool)
 _ODD[[ord(c) for c in _LATIN + _LATIN.upper() + "–—“”‘’…°²³«»·•©®§×" + "".join(map(chr, range(128)))]] = False
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_CHAR = np.random.default_rng(7).integers(1, 2**63, 0x4000, dtype=_U)
-
-
-def mix(x: np.ndarray, salt: int) -> np.ndarray:
-    """A bijective scramble of 64-bit values."""
-    with np.errstate(over="ignore"):
-        x = x ^ _U((salt * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, _U)
-    out[0] = 1
-    done = 1
-    with np.errstate(over="ignore"):
-        while done < n:
-            step = min(done, n - done)
-            out[done : done + step] = out[:step] * _U(pow(base, done, 1 << 64))
-            done += step
-    return out
-
-
-_POW = {"n": 0}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POW["n"] < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _POW.update(n=size, up=_powers(_BASE, size), down=_powers(_INVERSE, size))
-    return _POW["up"], _POW["down"]
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def word_hashes(texts: list[str | None], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of all texts, number of words of each text). Null texts have none.
-
-    A word's hash is a polynomial over random values of its characters, taken from prefix sums, then scrambled: the cost
-    is a few array operations per character, without a Python object per word.
-    """
-    own = ["" if t is None else t.replace(_END, " ") if _END in t else t for t in texts]
-    joined = _END.join(own) + _END
-    cps = _points(joined)
-    odd = _ODD[np.minimum(cps, _TOP - 1)]
+    """(hashes of all words of all texts, number of words of each text). Null texts have none."""
+    own = ["" if t is None else t.replace(END, " ") if END in t else t for t in texts]
+    cps = points(END.join(own) + END)
+    odd = _ODD[np.minimum(cps, TOP - 1)]
     if odd.any():
         ends = np.nonzero(cps == 0)[0]
         for k in np.unique(np.searchsorted(ends, np.nonzero(odd)[0])).tolist():
             own[k] = canonical(own[k], logp)
-        joined = _END.join(own) + _END
-    cps = _points(joined.lower())
-    n = len(cps)
-    inside = _WORD[np.minimum(cps, _TOP - 1)]
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    start, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    up, down = _tables(n + 1)
-    with np.errstate(over="ignore"):
-        value = np.where(cps < 0x4000, _CHAR[np.minimum(cps, 0x3FFF)], cps.astype(_U) * _U(0xD6E8FEB86659FD93))
-        sums = np.zeros(n + 1, _U)
-        np.cumsum(value * up[:n], out=sums[1:])
-        h = mix((sums[stop] - sums[start]) * down[start], 1)
-    ends = np.nonzero(cps == 0)[0]
-    upto = np.searchsorted(start, ends)
-    return h, np.diff(upto, prepend=0)
+    return hash_words(own, str.lower)
+
+
+__all__ = ["mix", "word_hashes"]
