@@ -178,7 +178,8 @@ def hierarchy(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id"
     of :data:`TREE`. An empty table gives none.
     """
     base = links(nodes, node, parent, document)
-    near = base.repartition(F.coalesce("doc", "id")).sortWithinPartitions("doc") if document else base
+    # By ranges of (document, id): a document's rows lie together, and one with a third of all rows spreads over many tasks.
+    near = base.repartitionByRange("doc", "id").sortWithinPartitions("doc", "id")
     local = materialize(near.select("id", "parent", "orphan").mapInArrow(_contract, "id string, parent string, orphan boolean, head string"))
     heads = local.select(F.col("id").alias("parent"), F.col("head").alias("phead"))
     across = local.where("parent is not null and not orphan").select("parent", "head").join(heads, "parent").where("head <> phead").select("head", "phead").distinct()
