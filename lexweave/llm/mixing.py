@@ -93,7 +93,7 @@ def sized(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     )
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str, block_tokens: int = 4096, n_shards: int = 64, seed: str = "mix", **columns: str) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str, block_tokens: int = 4096, n_shards: int | None = None, seed: str = "mix", **columns: str) -> tuple[DataFrame, DataFrame]:
     """(picked documents with their copies, report).
 
     The mixture is as large as all documents together. ``picked``: doc_id, source, tokens, copies (1 .. max_repeats).
@@ -102,9 +102,11 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str, block_tokens:
     Documents whose source is no target count towards that size only. A null text has no tokens; repeated rows are used
     as often as they stand; an empty table gives a report of zeros. Repeated target rows: the first by share counts.
 
-    Only totals per source and shard (at most targets times ``n_shards``) come to the driver.
+    Without ``n_shards`` there is a shard for every 20,000 documents, 4,096 at most. Only totals per source and shard (at
+    most targets times ``n_shards``) come to the driver.
     """
     spark = docs.sparkSession
+    n_shards = n_shards or max(1, min(4096, docs.count() // 20_000))
     d = materialize(sized(docs, tokenizer_path, n_shards=n_shards, seed=seed, **columns))
     want: dict[str, tuple[float, int]] = {}
     for r in sorted(targets.select(source_key("source").alias("s"), "target_share", "max_repeats").where("s is not null").limit(10_001).collect(), key=lambda r: (r["s"], -(r["target_share"] or 0))):
