@@ -159,15 +159,16 @@ def _doubling(rows: DataFrame) -> DataFrame:
     state = materialize(state.join(ring, "id", "left"))
     fault = F.when(F.col("ring"), "on_cycle").when(~F.col("end"), "under_cycle").when(F.col("lost"), "lost")
     state = state.withColumn("fault", fault)
-    # Paths of the sound nodes by doubling: from the node up to, and without, its pointer.
-    p = materialize(state.where("fault is null").select("id", "parent", F.col("to").alias("root_id"), F.coalesce("parent", "id").alias("ptr"), F.array("id").alias("up"), F.col("parent").isNull().alias("end")))
+    # Chains of the sound and lost nodes by doubling: from the node up to, and without, its pointer. A lost chain ends at an orphan.
+    last = F.col("parent").isNull() | F.coalesce("orphan", F.lit(False))
+    p = materialize(state.where("fault is null or fault = 'lost'").select("id", "parent", F.when(F.col("fault").isNull(), F.col("to")).alias("root_id"), F.when(last, F.col("id")).otherwise(F.col("parent")).alias("ptr"), F.array("id").alias("up"), last.alias("end")))
     while not p.where("not end").isEmpty():
         q = p.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("up").alias("up2"), F.col("end").alias("end2"))
         p = materialize(p.join(q, "ptr").select("id", "parent", "root_id", F.when(F.col("end"), F.col("ptr")).otherwise(F.col("ptr2")).alias("ptr"), F.when(F.col("end"), F.col("up")).otherwise(F.concat("up", "up2")).alias("up"), (F.col("end") | F.col("end2")).alias("end")))
-    path = p.select("id", "root_id", F.reverse("up").alias("path"))
-    below = path.select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    path = p.where("root_id is not null").select("id", "root_id", F.reverse("up").alias("path"))
+    below = p.select(F.explode(F.slice("up", F.lit(2), F.size("up"))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     out = state.select("id", "parent", "fault").join(path, "id", "left").join(below, "id", "left")
-    return out.select(F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "root_id", (F.size("path") - 1).alias("depth"), "path", F.when(F.col("fault").isNull(), F.coalesce("n", F.lit(0))).alias("n_descendants"), "fault").withColumn("depth", F.when(F.col("fault").isNull(), F.col("depth")).cast("int"))
+    return out.select(F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "root_id", (F.size("path") - 1).alias("depth"), "path", F.when(F.col("fault").isNull() | (F.col("fault") == "lost"), F.coalesce("n", F.lit(0))).alias("n_descendants"), "fault").withColumn("depth", F.when(F.col("fault").isNull(), F.col("depth")).cast("int"))
 
 
 def hierarchy(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", document: str | None = "source_file", max_component: int = MAX_COMPONENT) -> DataFrame:

@@ -61,6 +61,15 @@ def test_large_components_by_doubling(spark):
     check(spark, forest(2, 200), max_component=3)
 
 
+def test_both_branches_count_below_faulty_nodes(spark):
+    rows = forest(5, 120) + [("l0", "gone", "f9"), *((f"l{i}", f"l{(i - 1) // 2}", "f9") for i in range(1, 12)), ("r0", "r1", "f9"), ("r1", "r0", "f9"), ("r2", "r1", "f9"), ("r3", "r2", "f9")]
+    df = spark.createDataFrame(rows, "node_id string, parent_id string, source_file string")
+    small, large = ({r["node_id"]: tuple(r) for r in hierarchy.hierarchy(df, max_component=n).collect()} for n in (hierarchy.MAX_COMPONENT, 3))
+    assert large == small
+    k = hierarchy.TREE.split(", ").index("n_descendants bigint")
+    assert large["l0"][k] == 11 and large["l11"][k] == 0 and large["r1"][k] is None and large["r2"][k] is None
+
+
 def test_deep_chain(spark):
     check(spark, [(f"c{i:04d}", f"c{i - 1:04d}" if i else None, f"f{i % 3}") for i in range(1500)])
 
