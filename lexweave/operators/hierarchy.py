@@ -195,8 +195,24 @@ def hierarchy(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id"
     return trees
 
 
+def _chains(faulty: DataFrame) -> DataFrame:
+    """(id, up) of nodes without a root: the node and the ancestors that its links reach, nearest first, each once, so a
+    chain ends before a missing id and goes once round a cycle. By doubling; a chain that meets itself is whole."""
+    p = materialize(faulty.select(F.col("node_id").alias("id"), F.col("parent_id").alias("ptr"), F.array("node_id").alias("up"), F.lit(False).alias("end")))
+    while not p.where("not end").isEmpty():
+        q = p.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("up").alias("up2"), F.col("end").alias("end2"))
+        both = F.array_distinct(F.concat("up", "up2"))
+        met = F.size(both) < F.size("up") + F.size("up2")
+        live = p.where("not end").join(q, "ptr", "left").select("id", F.col("ptr2").alias("ptr"), F.coalesce(both, F.col("up")).alias("up"), F.coalesce(F.col("end2") | met, F.lit(True)).alias("end"))
+        p = materialize(p.where("end").select("id", "ptr", "up", "end").unionByName(live))
+    return p.select("id", "up")
+
+
 def descendants(trees: DataFrame) -> DataFrame:
-    """(node_id, descendant_id, distance) of every sound node and each node below it, as rows: no list of descendants
-    need fit into a cell."""
+    """(node_id, descendant_id, distance) of every node and each node below it, as rows: no list of descendants need fit
+    into a cell. Nodes without a root have theirs too: under a missing parent, below a cycle and round it, each node once at
+    its least distance and none below itself."""
     at = trees.where("path is not null").select(F.posexplode("path").alias("pos", "node_id"), F.col("node_id").alias("descendant_id"), "depth")
-    return at.where("pos < depth").select("node_id", "descendant_id", (F.col("depth") - F.col("pos")).alias("distance"))
+    sound = at.where("pos < depth").select("node_id", "descendant_id", (F.col("depth") - F.col("pos")).alias("distance"))
+    up = _chains(trees.where("fault is not null")).select(F.posexplode("up").alias("distance", "node_id"), F.col("id").alias("descendant_id"))
+    return sound.unionByName(up.where("distance > 0").select("node_id", "descendant_id", "distance"))

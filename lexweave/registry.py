@@ -23,6 +23,12 @@ def p2_trees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes under a root only, as the query's SQL has it."""
+    return hierarchy.descendants(hierarchy.hierarchy(table(spark, d, "hierarchy_nodes")).where("fault is null"))
+
+
+def p2_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Those of the nodes without a root too."""
     return hierarchy.descendants(hierarchy.hierarchy(table(spark, d, "hierarchy_nodes")))
 
 
@@ -405,7 +411,7 @@ FLAGSHIP = "bm25_topk"
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_trees, p2_descendants, p4_found, p4_per_law, p4_joined, bm25_corpus_stats, bm25_document_frequency, bm25_postings_by_doc, bm25_topk,
+        p2_found, p2_trees, p2_descendants, p2_all_descendants, p4_found, p4_per_law, p4_joined, bm25_corpus_stats, bm25_document_frequency, bm25_postings_by_doc, bm25_topk,
         dense_topk, dense_topk_filtered, vector_diagnostics, rrf_hybrid_topk, quota_hybrid_topk, diverse_hybrid_topk, reranked_topk, fallback_topk,
         retrieval_metrics_per_query, retrieval_metrics, retrieval_breakdowns, fusion_ablation, evidence_packets, evidence_prompts, citation_guard, text_keys,
         near_duplicate_titles, article_references, text_markers, secret_scan, language_counts, chunk_issues, duplicate_keys, latest_chunks, text_length_summary,

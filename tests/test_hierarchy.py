@@ -70,6 +70,20 @@ def test_both_branches_count_below_faulty_nodes(spark):
     assert large["l0"][k] == 11 and large["l11"][k] == 0 and large["r1"][k] is None and large["r2"][k] is None
 
 
+def test_descendants_of_faulty_nodes(spark):
+    rows = [("a", None), ("b", "a"), ("l0", "gone"), ("l1", "l0"), ("l2", "l1"), ("l3", "l2"), ("x", "y"), ("y", "z"), ("z", "x"), ("u", "x"), ("v", "u"), ("w", "v"), ("o", "o"), ("p", "o")]
+    up = dict(rows)
+    want = set()
+    for n in up:
+        k, seen = n, [n]
+        while (k := up.get(k)) in up and k not in seen:
+            want.add((k, n, len(seen)))
+            seen.append(k)
+    df = spark.createDataFrame([(*r, "f") for r in rows], "node_id string, parent_id string, source_file string")
+    got = [tuple(r) for r in hierarchy.descendants(hierarchy.hierarchy(df)).collect()]
+    assert sorted(got) == sorted(want) and ("l0", "l3", 3) in want and ("u", "w", 2) in want and ("y", "w", 4) in want
+
+
 def test_deep_chain(spark):
     check(spark, [(f"c{i:04d}", f"c{i - 1:04d}" if i else None, f"f{i % 3}") for i in range(1500)])
 
