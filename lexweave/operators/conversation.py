@@ -10,6 +10,11 @@ from lexweave.functions import text
 # Words that make a question lean on the one before it.
 REFERENCES = ("điều đó", "việc đó", "trường hợp này", "trường hợp đó", "như trên", "nói trên", "that case", "this case", "the above")
 OPENINGS = ("còn ", "vậy ", "thế ", "nếu vậy", "and ", "then ", "what about")
+# Endings that make a question lean on the one before it unless it names a topic of its own.
+ENDINGS = ("thì sao", "được không", "áp dụng cho ai")
+TOPICS = (
+    "bảo hiểm xã hội", "bảo hiểm y tế", "bị phạt", "bồi thường", "cấp thẻ", "đất đai", "điều kiện", "hợp đồng", "khởi kiện", "kết hôn", "ly hôn", "nghỉ hằng năm", "nghỉ phép", "nghĩa vụ", "người lao động", "quyền", "thời hiệu", "thuế", "trẻ em", "trợ cấp", "xử phạt",
+)
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame) -> DataFrame:
@@ -41,16 +46,23 @@ def is_follow_up(c: Column | str) -> Column:
         refers = refers | F.contains(q, F.lit(p))
     for p in OPENINGS:
         refers = refers | F.startswith(q, F.lit(p))
-    return F.coalesce(refers, F.lit(False))
+    ends, topic = F.lit(False), F.lit(False)
+    for p in ENDINGS:
+        ends = ends | F.endswith(q, F.lit(p))
+    for p in TOPICS:
+        topic = topic | F.contains(q, F.lit(p))
+    return F.coalesce(refers | (ends & ~topic), F.lit(False))
 
 
 def rewritten_questions(messages: DataFrame, most: int = 4000) -> DataFrame:
-    """(conversation_id, id, follow_up, question): each user message, a follow-up with the user message before it in front,
-    cut to ``most`` characters."""
+    """(conversation_id, id, follow_up, question): each user message whole, a follow-up with the user message before it in
+    front, of which as much is kept as fits into ``most`` characters beside the question."""
     w = Window.partitionBy("conversation_id").orderBy("created_at", "id")
     m = distinct_messages(messages).where("role = 'user'").withColumn("prior", F.lag("content").over(w)).withColumn("follow_up", is_follow_up("content"))
-    q = F.when(F.col("follow_up") & F.col("prior").isNotNull(), F.concat_ws("\n", "prior", "content")).otherwise(F.col("content"))
-    return m.select("conversation_id", "id", "follow_up", F.substring(q, 1, most).alias("question"))
+    room = F.lit(most) - F.length("content") - 1
+    cut = F.nullif(F.regexp_replace(F.substring(F.col("prior"), F.lit(1), room), r"\s+$", ""), F.lit(""))
+    anchor = F.when(F.col("follow_up") & (room > 0), F.when(F.length("prior") <= room, F.col("prior")).otherwise(cut))
+    return m.select("conversation_id", "id", "follow_up", F.concat_ws("\n", anchor, "content").alias("question"))
 
 
 def apply_updates(table: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:
