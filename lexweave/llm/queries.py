@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import boilerplate, canonical, conversations, leakage, mixing, neardup, quality, splitting
 from lexweave.operators.graph import connected_components
-from lexweave.session import materialize, table
+from lexweave.session import materialize, spread, table
 
 TOKENIZER = os.environ.get("LEXWEAVE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
@@ -85,8 +85,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_canonical(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d).select("chunk_id", "text")
-    return canonical.canonicalize(c, "text").select("chunk_id", F.xxhash64("canonical").alias("canonical_hash"), (F.col("text") != F.col("canonical")).alias("changed"))
+    """Rows of both tables, under the scores that p7_found has."""
+    c, a = _chunks(spark, d), table(spark, d, "normalized_artifacts")
+    scores = canonical.train(c.select("text"), a.select("normalized_text"))
+
+    def formed(df, name, key, text):
+        t = canonical.canonicalize(spread(df.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("text"))), "text", logp=scores)
+        return t.select(F.lit(name).alias("table_name"), "record_key", F.xxhash64("canonical").alias("canonical_hash"), (F.col("text") != F.col("canonical")).alias("changed"))
+
+    return formed(c, "legal_chunks", "chunk_id", "text").unionByName(formed(a, "normalized_artifacts", "raw_artifact_path", "normalized_text"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
