@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators.graph import connected_components
+from lexweave.session import materialize
+
+#: Ranges of the seeded hash that sizes are summed up by.
+BUCKETS = 4096
 
 
 def components_by_fields(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -22,36 +25,39 @@ def components_by_fields(df: DataFrame, key: str, fields: Sequence[str]) -> Data
 
 
 def grouped_split(components: DataFrame, ratios: Mapping[str, float], seed: int = 13, forced: Mapping[str, str] | None = None) -> DataFrame:
-    """(key, component, split): whole components, drawn in seeded order, fill the splits up to their rounded shares; the
-    last split takes the rest. ``forced``: component to split, assigned first.
+    """(key, component, split): whole components, in order of a seeded hash, fill the splits up to their rounded shares;
+    the last split takes the rest. ``forced``: component to split, assigned first.
 
-    Up to 100,000 components are assigned on the driver; more are assigned by seeded hash, which needs no list on the
-    driver and keeps the shares in expectation."""
-    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
-    few = sizes.limit(100_001).collect()
+    Sizes are summed up along the order in BUCKETS ranges of the hash; only the ranges' totals reach the driver."""
     names = list(ratios)
-    if len(few) > 100_000:
-        total = float(sum(ratios.values()))
-        u = F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(1 << 30)) / float(1 << 30)
-        at, split = 0.0, F.lit(names[-1])
-        for name in reversed(names[:-1]):
-            at = sum(ratios[x] for x in names[: names.index(name) + 1]) / total
-            split = F.when(u < at, name).otherwise(split)
-        return components.withColumn("split", split)
-    order = sorted((r["component"], r["n"]) for r in few)
-    n = sum(k for _, k in order)
-    want = {s: round(n * r) for s, r in ratios.items()}
-    got = dict.fromkeys(names, 0)
-    out: dict[str, str] = {}
-    for c, k in order:
-        if forced and c in forced:
-            out[c] = forced[c]
-            got[forced[c]] += k
-    rest = [x for x in order if x[0] not in out]
-    random.Random(seed).shuffle(rest)
-    for c, k in rest:
-        s = next((x for x in names[:-1] if got[x] < want[x]), names[-1])
-        out[c] = s
-        got[s] += k
+    if wrong := set((forced or {}).values()) - set(names):
+        raise ValueError(f"no such split: {sorted(wrong)}")
     spark = components.sparkSession
-    return components.join(F.broadcast(spark.createDataFrame(list(out.items()) or [], "component string, split string")), "component").select("key", "component", "split")
+    fixed = spark.createDataFrame(list((forced or {}).items()), "component string, _forced string")
+    u = F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(BUCKETS << 20))
+    sizes = materialize(components.where("component is not null").groupBy("component").agg(F.count("*").alias("n")).join(fixed, "component", "left").withColumn("_u", u).withColumn("_bucket", F.shiftright("_u", 20)))
+    totals = {r["_forced"]: r["n"] for r in sizes.groupBy("_forced").agg(F.sum("n").alias("n")).collect()}
+    n = sum(totals.values())
+    rest = sizes.where("_forced is null")
+    offsets, at = [], 0
+    for b, k in sorted((r["_bucket"], r["n"]) for r in rest.groupBy("_bucket").agg(F.sum("n").alias("n")).collect()):
+        offsets.append((b, at))
+        at += k
+    w = Window.partitionBy("_bucket").orderBy("_u", "component").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spark.createDataFrame(offsets, "_bucket bigint, _start bigint")
+    placed = rest.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(starts), "_bucket")
+    placed = materialize(placed.select("component", (F.col("_before") + F.col("_start")).alias("_before")))
+    # A split ends at the first component before which its share is full; the next one begins there.
+    split, begin = F.lit(names[-1]), 0
+    ends = []
+    for name in names[:-1]:
+        full = begin + max(0, round(n * ratios[name]) - totals.get(name, 0))
+        ends.append((name, full))
+        first = placed.where(F.col("_before") >= full).agg(F.min("_before")).first()[0]
+        if first is None:
+            break
+        begin = first
+    for name, full in reversed(ends):
+        split = F.when(F.col("_before") < full, name).otherwise(split)
+    done = placed.select("component", split.alias("split")).unionByName(sizes.where("_forced is not null").select("component", F.col("_forced").alias("split")))
+    return components.join(done, "component").select("key", "component", "split")
