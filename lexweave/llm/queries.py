@@ -38,7 +38,7 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = _chunks(spark, d)
     scores = canonical.train(c.select("text"))
-    members, pairs = neardup.near_duplicates(c, scores, "chunk_id", "text", threshold=0.6, shingle=3, min_words=20)
+    members, pairs = neardup.near_duplicates(c, scores, "chunk_id", "text", threshold=0.6, shingle=3, min_words=20, signature="sets")
     return materialize(members), materialize(pairs)
 
 
