@@ -11,11 +11,13 @@ Two signatures are offered:
   0.0003, at 0.65 with 0.00002, at 0.8 with 1e-13. The number of rows is the same for every document.
 * ``sets``: the bits of the shingle set itself. Sets of n and l shingles with a similarity of t or more differ in at most
   H = floor((1 - t) / (1 + t) * (n + l)) bits; with allowances e_i in {none, 0, 1} that fulfil sum(e_i + 1) = H + 1, some
-  segment differs by at most its allowance. No pair is lost at all, for about four times as many rows.
+  segment differs by at most its allowance. No pair is lost at all.
 
-Parity sketches carried in the signature rows drop pairs that can't reach the threshold before they leave the join; the
-sketch test loses nothing. Documents of the same word sequence are one class; pairs are between classes, and copies hang
-on their class.
+The variants of a set would be about four rows for each shingle. So ``sets`` moves what they are made from: the contents
+of a bundle of segments of many documents go to one task as packed arrays (:func:`_contents`), and the variants and their
+equality join are made there (:func:`_equal_variants`). Parity sketches drop pairs that can't reach the threshold before
+they leave the join; the sketch test loses nothing. Documents of the same word sequence are one class; pairs are between
+classes, and copies hang on their class.
 """
 
 from __future__ import annotations
@@ -34,11 +36,13 @@ from lexweave.session import materialize, spread
 
 #: Of the min-hash signature: values in a segment, and segments.
 PLACES, SEGMENTS = 5, 20
-#: Of the set signature: ratio of the bounds of a size group, segments per two differences, and how rare a shared
-#: shingle is taken to be when a set chooses the segments that it probes.
-RATIO, PER_TWO, RARE = 1.4, 1.15, 0.05
-#: 64-bit words of a sketch.
-SKETCH = 4
+#: Of the set signature: segments per two differences, and how rare a shared shingle is taken to be when a set chooses the
+#: segments that it probes. A size group reaches to 1 / threshold times its least size, so partners are in the next at most.
+PER_TWO, RARE = 1.5, 0.05
+#: 64-bit words of a min-hash row's sketch, bits of a sketch for each shingle of a set signature, and its most words.
+SKETCH, SKETCH_BITS, SKETCH_MOST = 4, 2.5, 64
+#: Bytes that a task gets of one bundle of segments, shingles of a batch of sets, and matches that are tested at once.
+UNIT_BYTES, BATCH_SHINGLES, MATCHES = 12_000_000, 400_000, 500_000
 
 _U = np.uint64
 
@@ -50,13 +54,14 @@ class Plan:
         if not 0 < threshold <= 1:
             raise ValueError("the threshold lies in (0, 1]")
         self.t = threshold
+        self.ratio = min(2.0, max(1.1, 1 / threshold))
 
     def group(self, n: np.ndarray) -> np.ndarray:
-        return np.floor(np.log(np.maximum(n, 1)) / math.log(RATIO) + 1e-9).astype(np.int64)
+        return np.floor(np.log(np.maximum(n, 1)) / math.log(self.ratio) + 1e-9).astype(np.int64)
 
     def top(self, g: int) -> int:
         """The largest size of a group."""
-        n = max(1, int(RATIO ** (g + 1)) + 1)
+        n = max(1, int(self.ratio ** (g + 1)) + 1)
         while n > 1 and self.group(np.array([n]))[0] > g:
             n -= 1
         return n
@@ -71,6 +76,9 @@ class Plan:
         most = int(self.differ(np.array([top]), np.array([top]))[0])
         return max(1, math.ceil((most + 1) / 2 * PER_TWO))
 
+    def sketch_words(self, g: int) -> int:
+        return min(SKETCH_MOST, max(2, math.ceil(SKETCH_BITS * self.top(g) / 64)))
+
 
 def shingle_sets(h: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of many documents, given their word hashes and numbers of words: (hashes, document
@@ -92,23 +100,34 @@ def shingle_sets(h: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray,
     return acc[new], doc[new]
 
 
-def _sets(batches: Iterable[pa.RecordBatch], k: int, least: int, logp: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterable[pa.RecordBatch], k: int, least: int, logp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, c1, c2, words) of the documents with enough words: the 128-bit digest of the word sequence, and the hashes of
+    its words in order, which compress about as well as the text."""
     for b in batches:
         for lo in range(0, b.num_rows, 2048):
             part = b.slice(lo, 2048)
             words, n = word_hashes(part.column(1).to_pylist(), logp)
-            enough = n >= max(least, k)
-            words, keep, n = words[np.repeat(enough, n)], np.nonzero(enough)[0], n[enough]
-            h, doc = shingle_sets(words, n, k)
-            size = np.bincount(doc, minlength=len(n))
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             cut = np.concatenate([[0], np.cumsum(n)])
-            d = [xxhash.xxh3_128_intdigest(words[x:y].tobytes()) for x, y in zip(cut, cut[1:])]
+            keep = np.nonzero(n >= max(least, k))[0]
+            seqs = [words[cut[i] : cut[i + 1]].tobytes() for i in keep]
+            d = [xxhash.xxh3_128_intdigest(x) for x in seqs]
             i64 = lambda xs: pa.array(np.array(xs, _U).view(np.int64) if xs else np.array([], np.int64))
-            yield pa.record_batch(
-                [part.column(0).take(pa.array(keep, pa.int64())), i64([x >> 64 for x in d]), i64([x & 0xFFFFFFFFFFFFFFFF for x in d]), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))],
-                names=["id", "c1", "c2", "shingles"],
-            )
+            yield pa.record_batch([part.column(0).take(pa.array(keep, pa.int64())), i64([x >> 64 for x in d]), i64([x & 0xFFFFFFFFFFFFFFFF for x in d]), pa.array(seqs, pa.binary())], names=["id", "c1", "c2", "words"])
+
+
+def _unpack(words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, documents) of packed word hashes."""
+    n = np.array([len(x) // 8 for x in words], np.int64)
+    return shingle_sets(np.frombuffer(b"".join(words), _U), n, k)
+
+
+def _with_sizes(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(class_id, words, n): n distinct shingles."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 2048):
+            part = b.slice(lo, 2048)
+            _, doc = _unpack(part.column(1).to_pylist(), k)
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(np.bincount(doc, minlength=part.num_rows).astype(np.int32))], names=["class_id", "words", "n"])
 
 
 def _minhash_variants(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,94 +149,245 @@ def _minhash_variants(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys.ravel(), np.repeat(np.arange(len(n)), k)
 
 
-def _signatures(batches: Iterable[pa.RecordBatch], t: float, what: str) -> Iterator[pa.RecordBatch]:
-    """Rows (key, rid, n, b0 ..): the min-hash variants (``minhash``), the own-group variants of the sets (``index``) or
-    the probes of all groups that hold larger partners (``probe``)."""
-    plan, probe = Plan(t), what == "probe"
+def _sketches(h: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """Parity sketches of ``words`` 64-bit words, a row for each set."""
+    bits = mix(h, 77) % _U(64 * words)
+    one, word = np.left_shift(_U(1), bits & _U(63)), bits >> _U(6)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == _U(w), one, _U(0)), starts) for w in range(words)], 1)
+
+
+def _minhash_rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, rid, n, b0 ..) of the min-hash variants."""
     for b in batches:
         for lo in range(0, b.num_rows, 2048):
             part = b.slice(lo, 2048)
             rid = part.column(0).to_numpy(zero_copy_only=False)
-            lists = part.column(1)
-            h = lists.flatten().to_numpy(zero_copy_only=False).view(_U)
-            n = np.diff(lists.offsets.to_numpy())
-            starts = np.concatenate([[0], np.cumsum(n)])[:-1]
-            if not len(n):
+            h, doc = _unpack(part.column(1).to_pylist(), k)
+            if not len(rid):
                 continue
-            bits = mix(h, 77) & _U(64 * SKETCH - 1)
-            one, word = np.left_shift(_U(1), bits & _U(63)), bits >> _U(6)
-            sketch = [np.bitwise_xor.reduceat(np.where(word == _U(w), one, _U(0)), starts) for w in range(SKETCH)]
-            own = plan.group(n)
-            last = plan.group(np.floor(n / t + 1e-9).astype(np.int64)) if probe else own
-            doc_of = np.repeat(np.arange(len(n)), n)
-            keys, docs = [], []
-            if what == "minhash":
-                k, d = _minhash_variants(h, n)
-                keys.append(k)
-                docs.append(d)
-            for g in range(int(own.min()), int(last.max()) + 1) if what != "minhash" else ():
-                pick = (own <= g) & (last >= g)
-                if pick.any():
-                    k, d = _variants(plan, g, pick, n, h, doc_of, probe)
-                    keys.append(k)
-                    docs.append(d)
-            key, d = np.concatenate(keys), np.concatenate(docs)
-            order = np.argsort(d, kind="stable")  # rows of a set together: its repeated columns compress well
-            key, d = key[order], d[order]
+            n = np.bincount(doc, minlength=len(rid))
+            sketch = _sketches(h, np.concatenate([[0], np.cumsum(n)])[:-1], SKETCH)
+            key, d = _minhash_variants(h, n)
             for a in range(0, len(key), 100_000):
                 e = d[a : a + 100_000]
                 yield pa.record_batch(
-                    [pa.array(key[a : a + 100_000].view(np.int64)), pa.array(rid[e]), pa.array(n[e].astype(np.int32)), *[pa.array(b[e].view(np.int64)) for b in sketch]],
+                    [pa.array(key[a : a + 100_000].view(np.int64)), pa.array(rid[e]), pa.array(n[e].astype(np.int32)), *[pa.array(sketch[e, w].view(np.int64)) for w in range(SKETCH)]],
                     names=["key", "rid", "n", *[f"b{w}" for w in range(SKETCH)]],
                 )
 
 
-def _variants(plan: Plan, g: int, pick: np.ndarray, n: np.ndarray, h: np.ndarray, doc_of: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Signature keys of one size group, and the documents they belong to."""
-    m = plan.segments(g)
-    docs = np.nonzero(pick)[0]
-    rank = np.full(len(n), -1)
-    rank[docs] = np.arange(len(docs))
-    inside = pick[doc_of]
-    x, d = h[inside], rank[doc_of[inside]]
-    seg = (mix(x, 1000 + g) % _U(m)).astype(np.int64)
-    value = mix(x, 2000 + g)
-    cell = d * m + seg
-    order = np.argsort(cell, kind="stable")
-    cell, value, d, seg = cell[order], value[order], d[order], seg[order]
-    size = np.bincount(cell, minlength=len(docs) * m)
-    full = np.zeros(len(docs) * m, _U)
+def layout(plan: Plan, groups: Iterable[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
+    """Bundles of segments, and hash ranges of contents, for every size group that documents are sent to, from
+    (group, documents, shingles). A bundle is made as small as keeps a task's share near UNIT_BYTES; where a single
+    segment is still too much, a document's segment goes to the ranges that its variants fall in."""
+    docs: dict[int, int] = {}
+    shingles: dict[int, int] = {}
+    for g, n, s in groups:
+        for at in (g, g + 1, g + 2) if plan.ratio * plan.t < 1 - 1e-9 else (g, g + 1):
+            docs[at] = docs.get(at, 0) + n
+            shingles[at] = shingles.get(at, 0) + s
+    out = {}
+    for g, n in docs.items():
+        m = plan.segments(g)
+        fixed = n * (8 * plan.sketch_words(g) + 6)
+        moving = 5 * shingles[g] + 2 * m * n
+        bundles = min(m, max(1, math.ceil(moving / max(UNIT_BYTES - fixed, UNIT_BYTES / 4))))
+        out[g] = bundles, max(1, round((moving / bundles + fixed) / (2 * UNIT_BYTES)))
+    return out
+
+
+def _allowances(plan: Plan, g: int, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For every set and segment 0 (not probed), 1 (must be equal) or 2 (may differ by one bit), so that a partner of the
+    group agrees in one: of the steps none to equal to one bit the cheapest are taken, by how many sets may share them."""
+    m = size.shape[1]
+    most = np.minimum(np.floor(n / plan.t + 1e-9).astype(np.int64), plan.top(g))
+    need = np.maximum(plan.differ(n, most), 0) + 1
+    cost0 = RARE ** size.astype(np.float64)
+    cost1 = np.maximum(size * RARE ** np.maximum(size - 1, 0), cost0 * 1.001) + np.where(size == 0, 1.0, 0.0)
+    steps = np.concatenate([cost0, cost1], 1)
+    place = np.empty(steps.shape, np.int64)
+    np.put_along_axis(place, np.argsort(steps, axis=1, kind="stable"), np.arange(2 * m)[None, :], axis=1)
+    ones = place[:, m:] < need[:, None]
+    return np.where(ones, 2, np.where(place[:, :m] < need[:, None], 1, 0)).astype(np.uint16)
+
+
+def _keys(full: np.ndarray, seg: np.ndarray, short: int) -> np.ndarray:
+    """Keys of contents in two spaces: whole contents of the index, and its contents less one bit."""
     with np.errstate(over="ignore"):
-        if len(cell):
-            first = np.nonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[0]
-            full[cell[first]] = np.add.reduceat(value, first)
-        less = full[cell] - value
-    segs = np.tile(np.arange(m), len(docs))
-    # Two hash spaces: whole contents of the index, and its contents less one bit.
-    whole = lambda v, s: mix(v + s.astype(_U) * _U(0x632BE59BD9B4E019), 3000 + 2 * g)
-    short = lambda v, s: mix(v + s.astype(_U) * _U(0x632BE59BD9B4E019), 3001 + 2 * g)
+        return mix(full + seg.astype(_U) * _U(0x632BE59BD9B4E019), 3000 + short)
+
+
+def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
     with np.errstate(over="ignore"):
-        if not probe:
-            return np.concatenate([whole(full, segs), short(less, seg)]), docs[np.concatenate([np.repeat(np.arange(len(docs)), m), d])]
-        nd = n[docs]
-        most = np.minimum(np.floor(nd / plan.t + 1e-9).astype(np.int64), plan.top(g))
-        need = np.maximum(plan.differ(nd, most), 0) + 1
-        # Allowances: of the 2 m steps (none to 0, 0 to 1) the cheapest ones. A step's cost is how many sets share its keys.
-        s = size.reshape(len(docs), m)
-        cost0 = RARE ** s.astype(np.float64)
-        cost1 = np.maximum(s * RARE ** np.maximum(s - 1, 0), cost0 * 1.001) + np.where(s == 0, 1.0, 0.0)
-        steps = np.concatenate([cost0, cost1], 1)
-        place = np.empty_like(steps, dtype=np.int64)
-        np.put_along_axis(place, np.argsort(steps, axis=1, kind="stable"), np.arange(2 * m)[None, :], axis=1)
-        zero, ones = (place[:, :m] < need[:, None]), (place[:, m:] < need[:, None])
-        zero |= ones
-        z, o = zero.ravel(), ones.ravel()
-        dz = np.repeat(np.arange(len(docs)), m)
-        wild = o[cell]
-        return (
-            np.concatenate([whole(full[z], segs[z]), short(full[o], segs[o]), whole(less[wild], seg[wild])]),
-            docs[np.concatenate([dz[z], dz[o], d[wild]])],
-        )
+        c = np.concatenate([np.zeros(1, _U), np.cumsum(values, dtype=_U)])
+        return c[ends] - c[ends - size]
+
+
+FIELDS = ("docs", "sizes", "cells", "vals", "sketches")
+CONTENTS = "unit bigint, base bigint, " + ", ".join(f"{f} binary" for f in FIELDS)
+
+
+def _contents(batches: Iterable[pa.RecordBatch], k: int, plan: Plan, parts: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, base, packed arrays): for each size group and bundle of its segments the documents of a batch, in
+    their own group as index and probe, in the groups of larger partners as probe only.
+
+    unit is (group, bundle, range); a document's number is base plus ``docs``; ``sizes`` its shingles, the top bit set if it
+    is of the group; ``cells`` for each segment of the bundle 4 times its shingles plus the allowance; ``vals`` 40 bits of
+    each shingle, by document and segment.
+    """
+    for b in batches:
+        rids = b.column(0).to_numpy(zero_copy_only=False)
+        sizes = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        # Batches of consecutive numbers and of a bounded number of shingles.
+        block = np.cumsum(sizes) // BATCH_SHINGLES
+        cuts = [0, *(np.nonzero((np.diff(rids) != 1) | (np.diff(block) != 0))[0] + 1).tolist(), len(rids)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            for at in range(lo, hi, 4096):
+                part = b.slice(at, min(hi, at + 4096) - at)
+                if not part.num_rows:
+                    continue
+                h, doc = _unpack(part.column(2).to_pylist(), k)
+                rows = _of_batch(h, doc, part.num_rows, int(rids[at]), plan, parts)
+                names = ("unit", "base", *FIELDS)
+                yield pa.record_batch([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows))], names=names) if rows else pa.record_batch([pa.array([], pa.int64() if i < 2 else pa.binary()) for i in range(7)], names=names)
+
+
+def _of_batch(h: np.ndarray, doc: np.ndarray, count: int, base: int, plan: Plan, parts: dict[int, tuple[int, int]]) -> list[tuple]:
+    n = np.bincount(doc, minlength=count)
+    own, last = plan.group(n), plan.group(np.floor(n / plan.t + 1e-9).astype(np.int64))
+    out = []
+    for g in range(int(own.min()), int(last.max()) + 1):
+        pick = (own <= g) & (last >= g) & (n > 0)
+        if not pick.any():
+            continue
+        m, (bundles, ranges), words = plan.segments(g), parts.get(g, (1, 1)), plan.sketch_words(g)
+        docs = np.nonzero(pick)[0]
+        rank = np.full(count, -1)
+        rank[docs] = np.arange(len(docs))
+        inside = pick[doc]
+        x, d = h[inside], rank[doc[inside]]
+        seg = (mix(x, 1000 + g) % _U(m)).astype(np.int64)
+        order = np.argsort(d * m + seg, kind="stable")
+        x, d, seg = x[order], d[order], seg[order]
+        size = np.bincount(d * m + seg, minlength=len(docs) * m).reshape(len(docs), m)
+        if size.max() >= 1 << 14:
+            raise ValueError("a segment of more than 16,383 shingles")
+        cells = (size * 4).astype(np.uint16) + _allowances(plan, g, n[docs], size)
+        value = mix(x, 2000 + g) >> _U(24)
+        sketch = _sketches(x, np.concatenate([[0], np.cumsum(n[docs])])[:-1], words)
+        head = (n[docs] | np.where(own[docs] == g, 1 << 31, 0)).astype(np.uint32)
+        for u in range(bundles):
+            first, stop = u * m // bundles, (u + 1) * m // bundles
+            mine = (seg >= first) & (seg < stop)
+            v, at, c = value[mine], d[mine], cells[:, first:stop]
+            s = size[:, first:stop]
+            for r in range(ranges):
+                if ranges == 1:
+                    who = np.ones(len(docs), bool)
+                else:
+                    flat = s.ravel()
+                    full, cell = _sums(v, flat), np.repeat(np.arange(len(flat)), flat)
+                    col = np.tile(np.arange(first, stop), len(docs))
+                    with np.errstate(over="ignore"):
+                        falls = np.concatenate([_keys(full, col, 9), _keys(full[cell] - v, col[cell], 9)]) % _U(ranges) == _U(r)
+                    who = np.zeros(len(docs), bool)
+                    who[np.concatenate([np.repeat(np.arange(len(docs)), stop - first), at])[falls]] = True
+                    if not who.any():
+                        continue
+                vals = v[who[at]].view(np.uint8).reshape(-1, 8)[:, :5]
+                out.append((g << 44 | u << 22 | r, base, docs[who].astype(np.uint16).tobytes(), head[who].tobytes(), c[who].tobytes(), vals.tobytes(), sketch[who].tobytes()))
+    return out
+
+
+def _equal_variants(rows: list[tuple], plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of document numbers of one unit whose contents of some segment are equal but for the probe's allowance, and
+    whose sizes and sketches let them reach the threshold."""
+    g = rows[0][0] >> 44
+    words = plan.sketch_words(g)
+    raw = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows])
+    rid = np.concatenate([np.frombuffer(r[2], np.uint16).astype(np.int64) + r[1] for r in rows])
+    head = raw(3, np.uint32)
+    n, own = (head & 0x7FFFFFFF).astype(np.int64), head >> 31 == 1
+    cells = raw(4, np.uint16)
+    width = len(cells) // len(rid)
+    size, allow = (cells >> 2).astype(np.int64), cells & 3
+    vals = np.zeros((int(size.sum()), 8), np.uint8)
+    vals[:, :5] = raw(5, np.uint8).reshape(-1, 5)
+    vals = vals.view(_U).ravel()
+    sketch = raw(6, _U).reshape(len(rid), words)
+    full, cell = _sums(vals, size), np.repeat(np.arange(len(cells)), size)
+    less = full[cell] - vals
+    seg, doc = np.tile(np.arange(width), len(rid)), np.repeat(np.arange(len(rid)), width)
+    mine = own[doc]
+    keys = np.concatenate([_keys(full[mine], seg[mine], 0), _keys(less[mine[cell]], seg[cell][mine[cell]], 1)])
+    index = np.concatenate([doc[mine], doc[cell][mine[cell]]])
+    order = np.argsort(keys)
+    keys, index = keys[order], index[order]
+    some, one = allow > 0, allow == 2
+    wild = one[cell]
+    asked = np.concatenate([_keys(full[some], seg[some], 0), _keys(full[one], seg[one], 1), _keys(less[wild], seg[cell][wild], 0)])
+    probe = np.concatenate([doc[some], doc[one], doc[cell][wild]])
+    lo = np.searchsorted(keys, asked, "left")
+    count = np.searchsorted(keys, asked, "right") - lo
+    hit = count > 0
+    lo, count, probe = lo[hit], count[hit], probe[hit]
+    upto = np.concatenate([[0], np.cumsum(count)])
+    share = plan.t / (1 + plan.t)
+    a = 0
+    while a < len(probe):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + MATCHES, "right")) - 1)
+        c = count[a:z]
+        p = np.repeat(probe[a:z], c)
+        i = index[np.repeat(lo[a:z] - (upto[a:z] - upto[a]), c) + np.arange(int(c.sum()))]
+        a = z
+        np_, ni = n[p], n[i]
+        ok = ((np_ < ni) | ((np_ == ni) & (rid[p] < rid[i]))) & (np_ + 1e-6 >= plan.t * ni)
+        p, i = p[ok], i[ok]
+        s = n[p] + n[i]
+        most = s - 2 * np.ceil(share * s - 1e-9)
+        differ = np.zeros(len(p), np.int64)
+        for w in range(words):
+            differ += np.bitwise_count(sketch[p, w] ^ sketch[i, w])
+            if w % 2 or w == words - 1:
+                ok = differ <= most
+                p, i, most, differ = p[ok], i[ok], most[ok], differ[ok]
+        if len(p):
+            pair = np.unique(np.stack([np.minimum(rid[p], rid[i]), np.maximum(rid[p], rid[i])], 1), axis=0)
+            yield pair[:, 0], pair[:, 1]
+
+
+def _unit_pairs(batches: Iterable[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit, joined one unit at a time: (ra, rb)."""
+
+    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for a, b in _equal_variants(held, plan):
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["ra", "rb"])
+
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and held[0][0] != row[0]:
+                yield from pairs(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from pairs(held)
+
+
+def _verified(batches: Iterable[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """(ka, kb, wa, wb) to the pairs of enough similarity, from the whole shingle sets."""
+    for b in batches:
+        keep, sims = [], []
+        for j, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+            h, doc = _unpack([x, y], k)
+            common = len(h) - len(np.unique(h))
+            sim = common / max(1, len(h) - common)
+            if sim >= least - 1e-12:
+                keep.append(j)
+                sims.append(sim)
+        at = pa.array(keep, pa.int64())
+        yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(sims, pa.float64())], names=["ka", "kb", "similarity"])
 
 
 def near_duplicates(docs: DataFrame, logp: np.ndarray, key: str = "doc_id", text: str = "text", threshold: float = 0.8, shingle: int = 5, min_words: int = 1, signature: str = "minhash") -> tuple[DataFrame, DataFrame]:
@@ -229,28 +399,35 @@ def near_duplicates(docs: DataFrame, logp: np.ndarray, key: str = "doc_id", text
     sets at least ``threshold``, found by the ``signature`` (see the module's text on what each guarantees). Null ids and texts take no part; repeated rows count once.
     """
     kind = dict(docs.dtypes)[key]
+    plan = Plan(threshold)
     d = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null"))
-    sets = materialize(d.mapInArrow(lambda it: _sets(it, shingle, min_words, logp), f"id {kind}, c1 bigint, c2 bigint, shingles array<bigint>"))
-    reps = materialize(sets.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.any_value("shingles").alias("shingles")))
-    members = sets.select("id", "c1", "c2").distinct().join(reps.select("c1", "c2", "class_id"), ["c1", "c2"]).select("id", "class_id")
-    one = reps.select(F.col("c1").alias("rid"), "shingles")
-    sig = "key bigint, rid bigint, n int, " + ", ".join(f"b{w} bigint" for w in range(SKETCH))
-    keyed = lambda what: one.mapInArrow(lambda it: _signatures(it, threshold, what), sig)
+    words = materialize(d.mapInArrow(lambda it: _digests(it, shingle, min_words, logp), f"id {kind}, c1 bigint, c2 bigint, words binary"))
+    first = words.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.any_value("words").alias("words"))
+    classes = words.select("id", "c1", "c2").groupBy("c1", "c2").agg(F.min("id").alias("class_id"))
+    members = words.select("id", "c1", "c2").distinct().join(classes, ["c1", "c2"]).select("id", "class_id")
+    # The number of a class is written with it, so that it stays the same in all that follows.
+    reps = first.select("class_id", "words").mapInArrow(lambda it: _with_sizes(it, shingle), f"class_id {kind}, words binary, n int")
+    reps = materialize(reps.where("n > 0").withColumn("rid", F.monotonically_increasing_id()))
     if signature == "minhash":
-        index = probe = keyed("minhash")
+        sig = "key bigint, rid bigint, n int, " + ", ".join(f"b{w} bigint" for w in range(SKETCH))
+        rows = reps.select("rid", "words").mapInArrow(lambda it: _minhash_rows(it, shingle), sig)
+        share = threshold / (1 + threshold)
+        total = F.col("i.n") + F.col("p.n")
+        # Sketches whose parity differs in more bits than the sets may can't be of a pair.
+        differ = sum((F.bit_count(F.col(f"i.b{w}").bitwiseXOR(F.col(f"p.b{w}"))) for w in range(SKETCH)), F.lit(0))
+        near = (F.col("p.n") <= F.col("i.n")) & (F.col("p.n") + F.lit(1e-6) >= threshold * F.col("i.n")) & (differ <= total - 2 * F.ceil(share * total - F.lit(1e-9)))
+        cond = (F.col("i.key") == F.col("p.key")) & (F.col("i.rid") != F.col("p.rid")) & near
+        found = rows.alias("i").join(rows.alias("p"), cond).select(F.least("i.rid", "p.rid").alias("ra"), F.greatest("i.rid", "p.rid").alias("rb"))
     else:
-        index, probe = keyed("index"), keyed("probe")
-    index, probe = index.alias("i"), probe.alias("p")
-    share = threshold / (1 + threshold)
-    total = F.col("i.n") + F.col("p.n")
-    # Sketches whose parity differs in more bits than the sets may can't be of a pair.
-    differ = sum((F.bit_count(F.col(f"i.b{w}").bitwiseXOR(F.col(f"p.b{w}"))) for w in range(SKETCH)), F.lit(0))
-    near = (F.col("p.n") <= F.col("i.n")) & (F.col("p.n") + F.lit(1e-6) >= threshold * F.col("i.n")) & (differ <= total - 2 * F.ceil(share * total - F.lit(1e-9)))
-    cond = (F.col("i.key") == F.col("p.key")) & (F.col("i.rid") != F.col("p.rid")) & near
-    found = index.join(probe, cond).select(F.least("i.rid", "p.rid").alias("ra"), F.greatest("i.rid", "p.rid").alias("rb")).distinct()
-    a = reps.select(F.col("c1").alias("ra"), F.col("class_id").alias("ka"), F.col("shingles").alias("sa"))
-    b = reps.select(F.col("c1").alias("rb"), F.col("class_id").alias("kb"), F.col("shingles").alias("sb"))
-    both = found.join(a, "ra").join(b, "rb").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    sim = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))
-    pairs = both.select(F.least("ka", "kb").alias("class_a"), F.greatest("ka", "kb").alias("class_b"), sim.alias("similarity"))
-    return members, pairs.where(F.col("similarity") >= threshold - 1e-12)
+        # A row for each size group, of which a threshold has a few dozen.
+        group = F.floor(F.log(F.col("n")) / F.lit(math.log(plan.ratio)) + F.lit(1e-9)).cast("int")
+        sizes = reps.groupBy(group.alias("g")).agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).collect()
+        parts = layout(plan, [(r["g"], r["docs"], r["shingles"]) for r in sizes])
+        sent = reps.select("rid", "n", "words").mapInArrow(lambda it: _contents(it, shingle, plan, parts), CONTENTS)
+        found = sent.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda it: _unit_pairs(it, plan), "ra bigint, rb bigint")
+    found = found.distinct()
+    a = reps.select(F.col("rid").alias("ra"), F.col("class_id").alias("ka"), F.col("words").alias("wa"))
+    b = reps.select(F.col("rid").alias("rb"), F.col("class_id").alias("kb"), F.col("words").alias("wb"))
+    both = found.join(a, "ra").join(b, "rb").select("ka", "kb", "wa", "wb")
+    checked = both.mapInArrow(lambda it: _verified(it, shingle, threshold), f"ka {kind}, kb {kind}, similarity double")
+    return members, checked.select(F.least("ka", "kb").alias("class_a"), F.greatest("ka", "kb").alias("class_b"), "similarity")
