@@ -1,10 +1,17 @@
 """Problem 6: the document itself, without what the site put around or between its lines.
 
-Method: line-block distribution. Markup is stripped, each line gets the length of its running text, lengths are summed
-over sliding windows of lines, and the text between the surge and the dive of that distribution is kept. What counts as
-running text is a line's form: headings, numbered provisions, points, preamble and sentences have mass, link lists and
-slogans have none, so windows inside menus and sidebars stay empty however long they are. Lines without mass between
-surge and dive were put there by the site.
+Method: line-block distribution. Markup is stripped, each line gets a mass (the length of its running text), masses are
+summed over sliding windows of lines, and the text between the surge and the dive of that distribution is kept:
+
+* A line has mass if it shows running text or structure: a sentence (closing punctuation), a line too long for a label, a
+  numbered or lettered provision, a heading. Labels, link lists and slogans have none, however many they are.
+* The windows whose sum reaches RISE times the page's median sum make regions. The region of the largest mass is the
+  document; a neighbour joins it over a gap of at most GAP lines if it is not small beside it. So a notice above the
+  menu and a numbered list in a sidebar are regions of their own and stay out.
+* Surge and dive are the region's first and last line of structure, moved outwards over structure that a window joins to
+  it (a title above an advertisement). Between them the lines without mass were put in by the site.
+
+Nothing but these sums moves the bounds; the forms of lines only say what has mass.
 """
 
 from __future__ import annotations
@@ -21,22 +28,21 @@ from pyspark.sql import functions as F
 from lexweave.llm.canonical import canonical
 from lexweave.session import spread
 
-WINDOW = 3
+#: Lines of a window; share of the median window sum from which a window belongs to a region; most lines without mass
+#: between regions that join, and least share of the main region's mass for that; mass of a line of structure besides its
+#: length; characters from which a line is no label; provisions that make a document, or sentences where it has no heading.
+WINDOW, RISE, GAP, JOIN, FLOOR, LONG = 5, 0.25, 8, 0.1, 20, 90
+PROVISIONS, SENTENCES = 3, 5
 # Forms of lines in statutes (Vietnamese and English).
 HEADING = re.compile(r"(?:phần|chương|mục|tiểu mục|part|chapter|section)\s+(?:thứ\s+\w+|[ivxlc]+|\d+)\b[.:]?\s*(.*)$", re.I)
 ARTICLE = re.compile(r"(?:điều|article)\s+\d+[a-zđ]?\s*[.:]", re.I)
-CLAUSE = re.compile(r"\d{1,3}[.)]\s+\S")
-POINT = re.compile(r"[a-zđ]\)\s*\S")
 PREAMBLE = re.compile(r"(?:căn cứ|xét|theo (?:đề nghị|kiến nghị)|pursuant to|having regard to|on the proposal)\b", re.I)
-TITLE = re.compile(r"(?:luật|bộ luật|nghị định|nghị quyết|thông tư|pháp lệnh|quy chế|quyết định|hiến pháp|law|decree|circular)\s+.*\d{4}$", re.I)
-DECREE_NO = re.compile(r"(?:luật|nghị định|nghị quyết|thông tư|quyết định)\s+(?:số\s+)?\d+/", re.I)
-RECIPIENTS = re.compile(r"nơi nhận\s*:?$", re.I)
-BULLET = re.compile(r"[-–—•+*]\s*\S")
-FILED = re.compile(r"[-–]?\s*lưu\s*:", re.I)
-CONSOLIDATED = "VĂN BẢN HỢP NHẤT"
+CLOSING = re.compile(r"(?:nơi nhận\s*:?$|[-–]?\s*lưu\s*:)", re.I)
+TITLE = re.compile(r"\w[\w ]{2,80}\s\d{4}$")
+POINT = re.compile(r"[a-zđ]\)\s*\S")
+NUMBERED = re.compile(r"(?:[-–—•+*]|\d{1,3}[.)])\s*\S")
 LINKS = re.compile(r"\s[»|·>/]\s|\S {2,}\S.*\S {2,}\S")
 END = re.compile(r"(?:[.;:]|\(…\))[”\"»)]*$")
-NOTICE = re.compile(r"\b(?:cookie|tệp nhận dạng|đo lượng truy cập|đăng nhập|quảng cáo|chính sách riêng tư|bản quyền|https?:)|\.example\b", re.I)
 TAGS = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^<>]*>", re.I | re.S)
 
 
@@ -46,8 +52,8 @@ def strip_markup(line: str) -> str:
 
 
 def line_form(s: str) -> str:
-    """The form of a stripped canonical line: '' blank, h heading, a article, c clause, p point, i preamble, t title,
-    u capitals, r recipients, b bullet, f filing line, s sentence, - none of these."""
+    """The form of a stripped canonical line: '' blank, h heading, u capitals, p preamble, e numbered, lettered or closing
+    line, s sentence or long line, - without mass."""
     if not s:
         return ""
     if LINKS.search(s):
@@ -55,116 +61,119 @@ def line_form(s: str) -> str:
     if (m := HEADING.match(s)) and len(s) < 150 and not END.search(m.group(1)):
         return "h"
     if ARTICLE.match(s):
-        return "a"
-    if CLAUSE.match(s) and (END.search(s) or len(s) > 90):
-        return "c"
-    if POINT.match(s):
+        return "h"
+    if POINT.match(s) or CLOSING.match(s):
+        return "e"
+    whole = END.search(s) is not None
+    if whole and PREAMBLE.match(s):
         return "p"
-    if PREAMBLE.match(s) and END.search(s):
-        return "i"
-    if RECIPIENTS.match(s):
-        return "r"
-    if FILED.match(s):
-        return "f"
-    if TITLE.match(s) and not DECREE_NO.match(s):
-        return "t"
+    if NUMBERED.match(s):
+        return "e" if whole or len(s) > LONG else "-"
     letters = [c for c in s if c.isalpha()]
     if len(letters) > 2 and all(c.isupper() for c in letters):
         return "u"
-    if BULLET.match(s) and len(s) < 120:
-        return "b"
-    if len(s) >= 40 and END.search(s) and not NOTICE.search(s):
-        return "s"
-    return "-"
+    return "s" if whole or len(s) > LONG else "-"
 
 
-def line_blocks(lengths: list[int], window: int = WINDOW) -> np.ndarray:
-    """Sum of the lengths of ``window`` lines from each line on."""
-    c = np.concatenate([[0], np.cumsum(lengths)])
-    n = len(lengths)
-    return c[np.minimum(np.arange(n) + window, n)] - c[:-1]
+def masses(lines: list[str], forms: list[str]) -> np.ndarray:
+    return np.array([0 if f in ("", "-") else len(x) + (FLOOR if f != "s" else 0) for x, f in zip(lines, forms)], np.float64)
 
 
-def content_mask(text: str, logp: np.ndarray) -> list[bool]:
-    """For each line of a page, whether it belongs to the document. Blank lines between surge and dive belong to it.
+def line_blocks(mass: np.ndarray | list, window: int = WINDOW) -> np.ndarray:
+    """Sum of the masses of ``window`` lines from each line on."""
+    c = np.concatenate([[0], np.cumsum(mass)])
+    n = len(mass)
+    return c[np.minimum(np.arange(n) + window, n)] - c[:-1]
 
-    A page without any article or heading has no document: no line is kept.
-    """
+
+def regions(blocks: np.ndarray, rise: float = RISE) -> list[tuple[int, int]]:
+    """(first, last) of the runs of windows whose sum reaches ``rise`` times the median of the sums that are not 0."""
+    some = blocks[blocks > 0]
+    if not len(some):
+        return []
+    edge = np.diff(np.concatenate([[0], (blocks >= rise * np.median(some)).astype(np.int8), [0]]))
+    return list(zip(np.nonzero(edge == 1)[0].tolist(), (np.nonzero(edge == -1)[0] - 1).tolist()))
+
+
+def surge_and_dive(lines: list[str], forms: list[str], window: int = WINDOW, rise: float = RISE) -> tuple[int, int] | None:
+    """First and last of the non-blank ``lines`` that belong to the document; None where a page has none."""
+    mass = masses(lines, forms)
+    # A line's window has as many lines before it as after it.
+    runs = regions(line_blocks(np.pad(mass, (window // 2, 0)), window)[: len(mass)], rise)
+    if not runs:
+        return None
+    total = [float(mass[a : z + 1].sum()) for a, z in runs]
+    low = high = max(range(len(runs)), key=lambda k: total[k])
+    least = JOIN * total[low]
+    while low and runs[low][0] - runs[low - 1][1] <= GAP and total[low - 1] >= least:
+        low -= 1
+    while high + 1 < len(runs) and runs[high + 1][0] - runs[high][1] <= GAP and total[high + 1] >= least:
+        high += 1
+    first, last = runs[low][0], runs[high][1]
+    inside = range(first, last + 1)
+    if any(forms[k] == "h" for k in inside):
+        body = [k for k in inside if forms[k] in "he"]
+        if len(body) < PROVISIONS:
+            return None
+        surge, dive = next(k for k in inside if forms[k] in ("h", "u", "p")), body[-1]
+        tail = any(forms[k] == "s" for k in range(body[0], dive))
+    else:  # a document without headings: its sentences are the body
+        body = [k for k in inside if forms[k] in ("s", "e")]
+        if len(body) < SENTENCES:
+            return None
+        surge, dive, tail = body[0], body[-1], True
+    reach = window // 2 + 1
+    surge = _outwards(forms, surge, -1, ("h", "u", "p"), reach)
+    dive = _outwards(forms, dive, 1, ("h", "e"), reach)
+    # Sentences below the last provision belong to the document if it has such between its provisions.
+    while tail and dive < last and forms[dive + 1] == "s":
+        dive += 1
+    # A title in small letters has no mass; it is the nearest such line above the surge.
+    if not any(forms[k] == "u" and TITLE.search(lines[k]) for k in range(surge, min(surge + window + 1, dive))):
+        surge = next((k for k in range(surge - 1, max(-1, surge - 1 - reach), -1) if forms[k] == "-" and TITLE.match(lines[k])), surge)
+    return surge, dive
+
+
+def _outwards(forms: list[str], at: int, step: int, kinds: tuple[str, ...], reach: int) -> int:
+    """The last line of structure that steps of at most ``reach`` lines lead to."""
+    while True:
+        near = [k for k in range(at + step * reach, at, -step) if 0 <= k < len(forms) and forms[k] in kinds]
+        if not near:
+            return at
+        at = near[0]
+
+
+def page_mask(text: str, logp: np.ndarray, window: int = WINDOW, rise: float = RISE) -> tuple[list[bool], list[bool]]:
+    """For each line of a page whether it belongs to the document, and whether it is blank. Blank lines between surge and
+    dive belong to it. A page without a document keeps no line."""
     lines = text.split("\n")
-    plain = [strip_markup(x) for x in canonical(text, logp).split("\n")] if len(canonical(text, logp).split("\n")) == len(lines) else [strip_markup(canonical(x, logp)) for x in lines]
-    plain = [x.strip() for x in plain]
+    plain = (canonical(text, logp) or "").split("\n")
+    if len(plain) != len(lines):
+        plain = [canonical(x, logp) for x in lines]
+    blank = [not x.strip() for x in plain]
+    plain = [strip_markup(x).strip() for x in plain]
     forms = [line_form(x) for x in plain]
+    at = [k for k, f in enumerate(forms) if f]
     keep = [False] * len(lines)
-    # Running text: the mass of a line. Recipients and bullets have mass only below the heading of their list.
-    strong = [len(x) if f and f in "hacp" else 0 for x, f in zip(plain, forms)]
-    anchors = [k for k, f in enumerate(forms) if f in ("h", "a")]
-    if not any(f == "a" for f in forms) and len([f for f in forms if f in ("h", "c", "p")]) < 3:
-        return keep
-    # Surge: the first anchor whose window has mass of more than the anchor itself or another anchor near; dive: the last
-    # window with mass.
-    blocks = line_blocks(strong)
-    surge = next((k for k in anchors if blocks[k] > 0), anchors[0] if anchors else next(k for k, x in enumerate(strong) if x))
-    dive = max(k for k, x in enumerate(strong) if x)
-    # A sidebar below the document has no provision that follows on; the list of recipients follows the dive.
-    k = dive + 1
-    listed = False
-    for j in range(k, len(lines)):
-        f = forms[j]
-        if f == "r":
-            listed = True
-            dive = j
-        elif listed and f == "b":
-            dive = j
-        elif listed and f == "f":
-            dive = j
-            break
-        elif f == "s" and not listed and all(forms[i] in ("", "s") for i in range(k, j)):
-            dive = j
-        elif f == "" or (listed and f == "-"):
-            continue
-        elif not listed and any(forms[i] == "r" for i in range(j, min(len(lines), j + 4))):
-            continue
-        else:
-            break
-    # The introduction stands between title and surge; the title is the nearest one above it.
-    title = None
-    for j in range(surge - 1, -1, -1):
-        f = forms[j]
-        if f == "i":
-            keep[j] = True
-        elif f in ("t", "u") and title is None and (f == "t" or TITLE.match(plain[j])):
-            title = j
-            keep[j] = True
-            break
-        elif f == "u":
-            keep[j] = True
-        elif f == "s":
-            keep[j] = True
-    above = title if title is not None else surge
-    for j in range(above - 1, max(-1, above - 4), -1):
-        if forms[j] == "u":
-            keep[j] = True
-        elif forms[j] not in ("", "-"):
-            break
-    listed = False
-    after_head = False
-    for j in range(surge, dive + 1):
-        f = forms[j]
-        listed = listed or f == "r"
-        ok = f in ("h", "a", "c", "p", "r", "f", "s", "i", "") or (f == "b" and listed)
-        if f in ("u", "t"):
-            ok = f == "u"
-        keep[j] = ok
-    return keep
+    found = surge_and_dive([plain[k] for k in at], [forms[k] for k in at], window, rise) if at else None
+    if found:
+        first, last = at[found[0]], at[found[1]]
+        for k in range(first, last + 1):
+            keep[k] = forms[k] != "-" or k == first
+    return keep, blank
+
+
+def content_mask(text: str, logp: np.ndarray, window: int = WINDOW, rise: float = RISE) -> list[bool]:
+    """For each line of a page, whether it belongs to the document."""
+    return page_mask(text, logp, window, rise)[0]
 
 
 def _lines(batches: Iterable[pa.RecordBatch], logp: np.ndarray, kept: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         paths, nos, texts = [], [], []
         for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lines = text.split("\n")
-            for no, (line, ok) in enumerate(zip(lines, content_mask(text, logp)), 1):
-                if ok == kept and canonical(line, logp).strip():
+            for no, (line, ok, blank) in enumerate(zip(text.split("\n"), *page_mask(text, logp)), 1):
+                if ok == kept and not blank:
                     paths.append(path)
                     nos.append(no)
                     texts.append(line)

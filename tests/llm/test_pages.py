@@ -57,3 +57,36 @@ def test_long_page():
 
 def test_line_blocks():
     assert boilerplate.line_blocks([1, 2, 3, 4], 3).tolist() == [6, 9, 7, 4]
+
+
+DOCUMENT = ["LUẬT NUÔI ONG 2020", "Điều 1. Phạm vi"] + [f"{k}. Người nuôi ong phải khai báo với tổ giám sát trong thời hạn {k} ngày." for k in range(1, 9)]
+SIDEBAR = ["Chương trình ưu đãi"] * 12 + [f"{k}. Bến đò mở cửa ngày {k} hằng tháng cho khách qua sông." for k in range(1, 4)] + ["Liên hệ"] * 3
+
+
+def mask(lines, **how):
+    return [k for k, ok in enumerate(boilerplate.content_mask("\n".join(lines), SCORES, **how)) if ok]
+
+
+def test_windows_decide():
+    page = DOCUMENT + SIDEBAR
+    assert mask(page) == list(range(10))  # numbered sentences of a sidebar are a region of their own
+    # With windows that reach over the gap, or a bound that all windows reach, the sidebar is taken in.
+    assert max(mask(page, window=31)) > 20 and mask(page, window=31) != mask(page)
+    # Windows of one line part the document at a gap that wider ones bridge.
+    parts = DOCUMENT[:7] + ["Chia sẻ"] * 10 + DOCUMENT[7:]
+    assert mask(parts, window=5) != mask(parts, window=1)
+    assert mask(page, rise=3.0) == []
+
+
+def test_flat_distribution_changes_the_result(monkeypatch):
+    page = DOCUMENT + SIDEBAR
+    whole = mask(page)
+    monkeypatch.setattr(boilerplate, "line_blocks", lambda mass, window=5: np.ones(len(mass)))
+    assert mask(page) != whole
+
+
+def test_page_without_headings():
+    story = [f"Người lái đò kể rằng mùa nước nổi năm thứ {k} cả xóm cùng nhau kéo lưới qua đêm." for k in range(1, 8)]
+    page = ["Trang chủ » Tin tức", "Đăng nhập"] + story + ["Chia sẻ", "Đang trực tuyến: 5"]
+    assert mask(page) == list(range(2, 9))
+    assert mask(["Trang chủ » Tin tức", "Hệ thống đang bảo trì.", "Bằng việc xem trang, bạn cho phép dùng tệp nhận dạng để ghi nhớ lựa chọn.", "Liên hệ"]) == []
