@@ -176,9 +176,9 @@ def _minhash_rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.Reco
                 )
 
 
-def layout(plan: Plan, groups: Iterable[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
-    """Bundles of segments, and hash ranges of contents, for every size group that documents are sent to, from
-    (group, documents, shingles). A bundle is made as small as keeps a task's share near UNIT_BYTES; where a single
+def layout(plan: Plan, groups: Iterable[tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
+    """Bundles of segments, hash ranges of contents and number of the first task for every size group that documents are
+    sent to, from (group, documents, shingles); each bundle and range is a task. A bundle is made as small as keeps a task's share near UNIT_BYTES; where a single
     segment is still too much, a document's segment goes to the ranges that its variants fall in."""
     docs: dict[int, int] = {}
     shingles: dict[int, int] = {}
@@ -186,13 +186,15 @@ def layout(plan: Plan, groups: Iterable[tuple[int, int, int]]) -> dict[int, tupl
         for at in (g, g + 1, g + 2) if plan.ratio * plan.t < 1 - 1e-9 else (g, g + 1):
             docs[at] = docs.get(at, 0) + n
             shingles[at] = shingles.get(at, 0) + s
-    out = {}
-    for g, n in docs.items():
+    out, tasks = {}, 0
+    for g, n in sorted(docs.items()):
         m = plan.segments(g)
         fixed = n * (8 * plan.sketch_words(g) + 6)
         moving = 5 * shingles[g] + 2 * m * n
         bundles = min(m, max(1, math.ceil(moving / max(UNIT_BYTES - fixed, UNIT_BYTES / 4))))
-        out[g] = bundles, max(1, round((moving / bundles + fixed) / (2 * UNIT_BYTES)))
+        ranges = max(1, round((moving / bundles + fixed) / (2 * UNIT_BYTES)))
+        out[g] = bundles, ranges, tasks
+        tasks += bundles * ranges
     return out
 
 
@@ -225,11 +227,11 @@ def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 FIELDS = ("docs", "sizes", "cells", "vals", "sketches")
-CONTENTS = "unit bigint, base bigint, " + ", ".join(f"{f} binary" for f in FIELDS)
+CONTENTS = "task int, unit bigint, base bigint, " + ", ".join(f"{f} binary" for f in FIELDS)
 
 
-def _contents(batches: Iterable[pa.RecordBatch], k: int, plan: Plan, parts: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, base, packed arrays): for each size group and bundle of its segments the documents of a batch, in
+def _contents(batches: Iterable[pa.RecordBatch], k: int, plan: Plan, parts: dict[int, tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, unit, base, packed arrays): for each size group and bundle of its segments the documents of a batch, in
     their own group as index and probe, in the groups of larger partners as probe only.
 
     unit is (group, bundle, range); a document's number is base plus ``docs``; ``sizes`` its shingles, the top bit set if it
@@ -249,11 +251,12 @@ def _contents(batches: Iterable[pa.RecordBatch], k: int, plan: Plan, parts: dict
                     continue
                 h, doc = _unpack(part.column(2).to_pylist(), k)
                 rows = _of_batch(h, doc, part.num_rows, int(rids[at]), plan, parts)
-                names = ("unit", "base", *FIELDS)
-                yield pa.record_batch([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows))], names=names) if rows else pa.record_batch([pa.array([], pa.int64() if i < 2 else pa.binary()) for i in range(7)], names=names)
+                if rows:
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * len(FIELDS)]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["task", "unit", "base", *FIELDS])
 
 
-def _of_batch(h: np.ndarray, doc: np.ndarray, count: int, base: int, plan: Plan, parts: dict[int, tuple[int, int]]) -> list[tuple]:
+def _of_batch(h: np.ndarray, doc: np.ndarray, count: int, base: int, plan: Plan, parts: dict[int, tuple[int, int, int]]) -> list[tuple]:
     n = np.bincount(doc, minlength=count)
     own, last = plan.group(n), plan.group(np.floor(n / plan.t + 1e-9).astype(np.int64))
     out = []
@@ -261,7 +264,7 @@ def _of_batch(h: np.ndarray, doc: np.ndarray, count: int, base: int, plan: Plan,
         pick = (own <= g) & (last >= g) & (n > 0)
         if not pick.any():
             continue
-        m, (bundles, ranges), words = plan.segments(g), parts.get(g, (1, 1)), plan.sketch_words(g)
+        m, (bundles, ranges, task), words = plan.segments(g), parts.get(g, (1, 1, 0)), plan.sketch_words(g)
         docs = np.nonzero(pick)[0]
         rank = np.full(count, -1)
         rank[docs] = np.arange(len(docs))
@@ -296,7 +299,7 @@ def _of_batch(h: np.ndarray, doc: np.ndarray, count: int, base: int, plan: Plan,
                     if not who.any():
                         continue
                 vals = v[who[at]].view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append((g << 44 | u << 22 | r, base, docs[who].astype(np.uint16).tobytes(), head[who].tobytes(), c[who].tobytes(), vals.tobytes(), sketch[who].tobytes()))
+                out.append((task + u * ranges + r, g << 44 | u << 22 | r, base, docs[who].astype(np.uint16).tobytes(), head[who].tobytes(), c[who].tobytes(), vals.tobytes(), sketch[who].tobytes()))
     return out
 
 
@@ -424,7 +427,8 @@ def near_duplicates(docs: DataFrame, logp: np.ndarray, key: str = "doc_id", text
         sizes = reps.groupBy(group.alias("g")).agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).collect()
         parts = layout(plan, [(r["g"], r["docs"], r["shingles"]) for r in sizes])
         sent = reps.select("rid", "n", "words").mapInArrow(lambda it: _contents(it, shingle, plan, parts), CONTENTS)
-        found = sent.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda it: _unit_pairs(it, plan), "ra bigint, rb bigint")
+        tasks = sum(bundles * ranges for bundles, ranges, _ in parts.values())
+        found = sent.repartitionById(max(1, tasks), "task").drop("task").sortWithinPartitions("unit").mapInArrow(lambda it: _unit_pairs(it, plan), "ra bigint, rb bigint")
     found = found.distinct()
     a = reps.select(F.col("rid").alias("ra"), F.col("class_id").alias("ka"), F.col("words").alias("wa"))
     b = reps.select(F.col("rid").alias("rb"), F.col("class_id").alias("kb"), F.col("words").alias("wb"))
