@@ -72,3 +72,38 @@ def test_empty_tables(spark):
     assert conversations.verdicts(m.limit(0), c.limit(0)).count() == 0
     assert conversations.verdicts(m.limit(0), c).where("fault <> 'empty'").count() == 0
     assert conversations.rebuild(m, c.limit(0)).count() == 0
+
+
+def test_order_comes_from_the_overlaps(spark, monkeypatch):
+    r = random.Random(9)
+    parts = []
+    for c in range(4):
+        hs = [r.randrange(1 << 60) for _ in range(200 if c else 3)]
+        cuts = [(a, min(len(hs), a + 12)) for a in range(0, len(hs), 9)] if len(hs) > 12 else [(0, 3)]
+        parts += [(f"c{c}", r.randrange(1 << 60), [(h, "user") for h in hs[a:b]], a) for a, b in cuts if b - a > 3 or a == 0]
+    r.shuffle(parts)
+    df = spark.createDataFrame([p[:3] for p in parts], "conversation_id string, fragment_id bigint, messages array<struct<h:bigint,role:string>>")
+    got = {(x["conversation_id"], x["fragment_id"]): (x["start"], x["looped"]) for x in conversations.paths(df).collect()}
+    assert got == {(c, f): (a, False) for c, f, _, a in parts}
+    # Without overlaps a conversation of many fragments falls apart.
+    msgs, convs = make(3, 8, long=200)
+    m, c = frames(spark, msgs, convs)
+    assert conversations.verdicts(m, c, 16).where("conversation_id = 'c0'").first()["fault"] is None
+    real = conversations.overlap_edges
+    monkeypatch.setattr(conversations, "overlap_edges", lambda *a: real(*a).where("false"))
+    assert conversations.verdicts(m, c, 16).where("conversation_id = 'c0'").first()["fault"] == "gap"
+
+
+def test_rebuilt_turns_are_in_order_over_fragments(spark):
+    msgs, convs = make(3, 8, long=300)
+    m, c = frames(spark, msgs, convs)
+    rows = sorted((x["turn"], x["created_at"], x["role"]) for x in conversations.rebuild(m, c, 16).where("conversation_id = 'c0'").collect())
+    assert [t for t, _, _ in rows] == list(range(300)) and [at for _, at, _ in rows] == sorted(at for _, at, _ in rows)
+
+
+def test_loop_is_a_gap(spark):
+    st = "array<struct<h:bigint,role:string>>"
+    f = lambda i, hs: ("c", i, [(h, ("user", "assistant")[h % 2]) for h in hs])
+    df = spark.createDataFrame([f(0, [0, 1, 2, 3]), f(1, [10, 11, 12, 13]), f(2, [12, 13, 14, 10, 11])], f"conversation_id string, fragment_id int, messages {st}")
+    r = conversations.assemble(df).first()
+    assert r["n_looped"] == 2 and r["n_paths"] == 2
