@@ -8,7 +8,6 @@ shard, documents in seeded order fill the blocks.
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,10 +22,20 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None
     caps = [seats] * len(weights) if caps is None else caps
     got = [0] * len(weights)
     # All quotients above a threshold low enough in number are taken at once: w / x rounded, with x so large that the
-    # rounded claims can't exceed the seats. They are a prefix of the order by quotients; the heap gives out the rest.
-    total, spare = sum(weights), seats - len(weights) / 2
-    if total > 0 and spare > 0:
-        got = [min(c, int(w / total * spare + 0.5)) for w, c in zip(weights, caps)]
+    # rounded claims can't exceed the seats. They are a prefix of the order by quotients. What full caps leave over is
+    # taken at once among the others in the same way; the heap gives out the rest, about half a seat for each weight.
+    open_ = [i for i, w in enumerate(weights) if w > 0]
+    while open_:
+        total, spare = sum(weights[i] for i in open_), seats - sum(got) + sum(got[i] for i in open_) - len(open_) / 2
+        if spare <= 0:
+            break
+        claims = {i: int(weights[i] / total * spare + 0.5) for i in open_}
+        full = {i for i in open_ if claims[i] >= caps[i]}
+        for i in open_:
+            got[i] = caps[i] if i in full else max(got[i], claims[i])
+        open_ = [i for i in open_ if i not in full]
+        if not full:
+            break
     heap = [(-w / (2 * g + 1), i) for i, (w, g) in enumerate(zip(weights, got)) if w > 0 and g < caps[i]]
     heapq.heapify(heap)
     left = seats - sum(got)
@@ -84,7 +93,7 @@ def source_key(c: str):
     return F.lower(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""))
 
 
-def sized(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", source: str = "source", n_shards: int = 64, seed: str = "mix") -> DataFrame:
+def sized(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", source: str = "source", n_shards: int = 256, seed: str = "mix") -> DataFrame:
     """(doc_id, source, tokens, shard, draw) of every document: shard and draw are seeded hashes of the key, so a hot
     source spreads over all shards and the order inside a shard does not depend on the files' layout."""
     h = F.xxhash64(F.lit(seed), F.col(key))
@@ -93,57 +102,77 @@ def sized(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     )
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str, block_tokens: int = 4096, n_shards: int | None = None, seed: str = "mix", **columns: str) -> tuple[DataFrame, DataFrame]:
+#: Sources that a mixture may have: as many rows come to the driver.
+MOST_SOURCES = 10_000
+
+
+def wanted_shares(targets: DataFrame) -> dict[str, tuple[float, int]]:
+    """Source to (share, repeats). Of repeated rows of a source the largest share stands, with its largest repeats. Names
+    are made distinct before they are counted, so repeated rows never push a source out."""
+    own = targets.select(source_key("source").alias("s"), F.coalesce("target_share", F.lit(0.0)).alias("w"), F.coalesce("max_repeats", F.lit(0)).alias("m")).where("s is not null")
+    rows = own.groupBy("s").agg(F.max(F.struct("w", "m")).alias("t")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} target sources")
+    return {r["s"]: (float(r["t"]["w"]), int(r["t"]["m"])) for r in sorted(rows, key=lambda r: r["s"])}
+
+
+def shard_quotas(sums: DataFrame, quotas: DataFrame, block_tokens: int) -> DataFrame:
+    """(source, shard, budget, shard_tokens, most): each source's blocks among its shards by highest quotients, token by
+    token, so that a shard smaller than a block is neither given more than it holds nor left out. A group is the shards of
+    one source, as many rows as there are shards."""
+
+    def share_out(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("shard")
+        most = int(df["most"].iloc[0])
+        budget = sainte_lague(df["t"].tolist(), int(df["blocks"].iloc[0]) * block_tokens, [most * int(t) for t in df["t"]])
+        return pd.DataFrame({"source": df["source"], "shard": df["shard"], "budget": budget, "shard_tokens": df["t"], "most": most})
+
+    own = sums.where("t > 0").join(F.broadcast(quotas), "source")  # at most MOST_SOURCES rows
+    return own.groupBy("source").applyInPandas(share_out, "source string, shard int, budget bigint, shard_tokens bigint, most int")
+
+
+def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str, block_tokens: int = 64, n_shards: int = 256, seed: str = "mix", **columns: str) -> tuple[DataFrame, DataFrame]:
     """(picked documents with their copies, report).
 
     The mixture is as large as all documents together. ``picked``: doc_id, source, tokens, copies (1 .. max_repeats).
-    ``report``: source, size_tokens, target_share, max_repeats, reachable_tokens, short, quota_blocks, got_tokens,
-    got_share; ``short`` says that max_repeats times the size stays below the target share of the size of all documents.
-    Documents whose source is no target count towards that size only. A null text has no tokens; repeated rows are used
-    as often as they stand; an empty table gives a report of zeros. Repeated target rows: the first by share counts.
-
-    Without ``n_shards`` there is a shard for every 20,000 documents, 4,096 at most. Only totals per source and shard (at
-    most targets times ``n_shards``) come to the driver.
+    ``report``: source, size_tokens, target_share, max_repeats, reachable_tokens, wanted_blocks, quota_blocks, short,
+    got_tokens, got_share. wanted_blocks are the blocks by highest quotients without caps, quota_blocks with them; a source
+    is ``short`` if its cap cut its quota below what was wanted and what was picked stays below it too. Documents whose
+    source is no target count towards the size of all only. A null text has no tokens; repeated rows are used as often as
+    they stand; an empty table gives a report of zeros. Of repeated target rows the largest share counts.
+
+    ``n_shards`` is a parameter and does not follow the data, so the same documents are picked whatever else the tables
+    hold; a task sorts one shard of one source. Only totals per source (MOST_SOURCES at most) come to the driver.
     """
     spark = docs.sparkSession
-    n_shards = n_shards or max(1, min(4096, docs.count() // 20_000))
+    want = wanted_shares(targets)
+    names = list(want)
     d = materialize(sized(docs, tokenizer_path, n_shards=n_shards, seed=seed, **columns))
-    want: dict[str, tuple[float, int]] = {}
-    for r in sorted(targets.select(source_key("source").alias("s"), "target_share", "max_repeats").where("s is not null").limit(10_001).collect(), key=lambda r: (r["s"], -(r["target_share"] or 0))):
-        want.setdefault(r["s"], (float(r["target_share"] or 0), int(r["max_repeats"] or 0)))
-    if len(want) > 10_000:
-        raise ValueError("more than 10,000 target sources")
-    names = sorted(want)
     own = F.when(F.col("source").isin(names), F.col("source"))
-    sums = d.groupBy(own.alias("source"), F.when(own.isNotNull(), F.col("shard")).alias("shard")).agg(F.sum("tokens").alias("t")).collect()
-    total = sum(r["t"] or 0 for r in sums)
-    size = {s: {} for s in names}
-    for r in sums:
-        if r["source"] is not None:
-            size[r["source"]][r["shard"]] = r["t"] or 0
-    all_of = {s: sum(size[s].values()) for s in names}
-    seats = total // block_tokens
-    caps = [want[s][1] * all_of[s] // block_tokens for s in names]
-    quota = dict(zip(names, sainte_lague([want[s][0] for s in names], seats, caps)))
-    rows = []
-    for s in names:
-        shards = sorted(size[s])
-        part = sainte_lague([size[s][k] for k in shards], quota[s], [math.ceil(want[s][1] * size[s][k] / block_tokens) for k in shards])
-        rows += [(s, k, int(q), int(q) * block_tokens, int(size[s][k]), want[s][1]) for k, q in zip(shards, part)]
-    plan = spark.createDataFrame(rows, "source string, shard int, blocks long, budget long, shard_tokens long, most int")
+    sums = materialize(d.groupBy(own.alias("source"), "shard").agg(F.sum("tokens").alias("t")))
+    all_of = {r["source"]: int(r["t"] or 0) for r in sums.groupBy("source").agg(F.sum("t").alias("t")).collect()}
+    seats = sum(all_of.values()) // block_tokens
+    size = [all_of.get(s, 0) for s in names]
+    shares, most = [want[s][0] for s in names], [want[s][1] for s in names]
+    caps = [m * n // block_tokens for m, n in zip(most, size)]
+    wanted, quota = sainte_lague(shares, seats), sainte_lague(shares, seats, caps)
+    head = spark.createDataFrame(
+        [(s, n, w, m, m * n, a, q) for s, n, w, m, a, q in zip(names, size, shares, most, wanted, quota)],
+        "source string, size_tokens long, target_share double, max_repeats int, reachable_tokens long, wanted_blocks long, quota_blocks long",
+    )
+    plan = shard_quotas(sums, head.select("source", F.col("quota_blocks").alias("blocks"), F.col("max_repeats").alias("most")), block_tokens)
     # The window is a source's shard, ordered by the seeded draw: bounded by the choice of n_shards, not by a source.
     w = Window.partitionBy("source", "shard").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ran = d.where("tokens > 0").join(F.broadcast(plan.where("shard_tokens > 0")), ["source", "shard"]).withColumn("upto", F.sum("tokens").over(w))
+    ran = d.where("tokens > 0").join(plan, ["source", "shard"]).withColumn("upto", F.sum("tokens").over(w))
     rounds = F.floor(F.col("budget") / F.col("shard_tokens"))
     rest = F.col("budget") - rounds * F.col("shard_tokens")
-    # A document is in the last, partial round while half of it or more lies within the rest of the budget.
-    copies = F.least(rounds + (F.col("upto") - F.col("tokens") / 2 <= rest).cast("long"), F.col("most")).cast("int")
+    # In the last, partial round the document at the end of the budget is taken with the chance of its part inside, so
+    # that shards of few documents neither gain nor lose on the whole. The draw gives the chance.
+    chance = F.pmod(F.xxhash64("draw", F.lit("end")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = F.least(rounds + (F.col("upto") - F.col("tokens") * chance <= rest).cast("long"), F.col("most")).cast("int")
     picked = ran.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
     got = picked.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("got_tokens"))
-    head = spark.createDataFrame(
-        [(s, int(all_of[s]), want[s][0], want[s][1], int(want[s][1] * all_of[s]), want[s][1] * all_of[s] < want[s][0] * total, int(quota[s])) for s in names],
-        "source string, size_tokens long, target_share double, max_repeats int, reachable_tokens long, short boolean, quota_blocks long",
-    )
-    report = head.join(F.broadcast(got), "source", "left").withColumn("got_tokens", F.coalesce("got_tokens", F.lit(0)))
-    whole = F.sum("got_tokens").over(Window.partitionBy(F.lit(0)))  # over at most 10,000 rows
-    return picked, report.withColumn("got_share", F.coalesce(F.round(F.try_divide(F.col("got_tokens"), whole), 6), F.lit(0.0)))
+    report = head.join(got, "source", "left").withColumn("got_tokens", F.coalesce("got_tokens", F.lit(0)))
+    short = (F.col("quota_blocks") < F.col("wanted_blocks")) & (F.col("got_tokens") < F.col("wanted_blocks") * F.lit(block_tokens))
+    whole = F.sum("got_tokens").over(Window.partitionBy(F.lit(0)))  # over at most MOST_SOURCES rows
+    return picked, report.withColumn("short", short).withColumn("got_share", F.coalesce(F.round(F.try_divide(F.col("got_tokens"), whole), 6), F.lit(0.0)))

@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,3 +59,33 @@ def test_tokenizers_agree_on_order_of_size():
     for f in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"):
         n = mixing.token_counter(f"{d}/{f}")(["", "một", "một hai ba <|endoftext|>"])
         assert n[0] == 0 and n[0] < n[1] < n[2]
+
+
+def test_repeated_target_rows_push_no_source_out(spark):
+    docs, _ = frames(spark, [(i, "một hai ba", ["a", "s6"][i % 2]) for i in range(200)])
+    targets = spark.createDataFrame([("a", 0.6, 2)] * 10_050 + [("s6", 0.4, 2), ("s6", 0.1, 9)], "source string, target_share double, max_repeats int")
+    picked, report = mixing.mix(docs, targets, TOKENIZER, block_tokens=16)
+    r = {x["source"]: x for x in report.collect()}
+    assert set(r) == {"a", "s6"} and (r["s6"]["target_share"], r["s6"]["max_repeats"]) == (0.4, 2)
+    assert picked.where("source = 's6'").count() > 0
+
+
+def test_small_shards_reach_their_shares(spark):
+    docs, targets = frames(spark, [(i, "một hai ba bốn năm " * 8, ["a", "b", "b", "b", "c"][i % 5]) for i in range(1500)])
+    got = {n: {x["source"]: x["got_share"] for x in mixing.mix(docs, targets, TOKENIZER, n_shards=n)[1].collect()} for n in (1, 1024)}
+    # a is cut by its cap at 0.4; the rest goes to b and c as 3 to 2.
+    assert all(abs(got[n][s] - share) < 0.03 for n in got for s, share in (("a", 0.4), ("b", 0.36), ("c", 0.24)))
+
+
+def test_many_seats_beyond_full_caps():
+    began = time.time()
+    got = mixing.sainte_lague([0.5, 0.3, 0.2], 10**12, [10**9, 10**12, 10**12])
+    assert sum(got) == 10**12 and got[0] == 10**9 and abs(got[1] / got[2] - 1.5) < 1e-6 and time.time() - began < 1
+
+
+def test_short_comes_from_quotas_and_picks(spark, monkeypatch):
+    docs, targets = frames(spark, [(i, "một hai ba bốn năm " * 8, ["a", "b"][i % 20 == 0]) for i in range(400)])
+    assert [x["source"] for x in mixing.mix(docs, targets, TOKENIZER)[1].where("short").collect()] == ["b", "c"]
+    real = mixing.sainte_lague
+    monkeypatch.setattr(mixing, "sainte_lague", lambda w, seats, caps=None: real(w, seats))
+    assert mixing.mix(docs, targets, TOKENIZER)[1].where("short").count() == 0
