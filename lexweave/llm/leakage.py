@@ -1,18 +1,19 @@
 """Problem 8: evaluation items leaking into training text.
 
 Method: a BM25 inverted index of the test items with block-max WAND. Every passage of ``run`` consecutive words of every
-document is a query; all items whose score reaches their threshold are retrieved and verified word by word. The index's
-terms are shingles of five words: test items share their vocabulary with the corpus, so single words don't tell them
-apart (with them three quarters of all passages reached a threshold).
+document is a query; all items whose score reaches their threshold are retrieved and verified field by field, word by
+word. The index's terms are shingles of five words: test items share their vocabulary with the corpus, so single words
+don't tell them apart (with them three quarters of all passages reached a threshold).
 
 The threshold loses nothing: an item's score for a query that is one of its own runs is the sum of the impacts of that
 run's distinct words, so the smallest such sum over the item's runs bounds every true leak from below. Impacts are
 divided by it, which makes the threshold 1 for all items.
+
+The corpus is read and hashed once for all indexes that fit into SCAN_BYTES, not once for each.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.words import word_hashes
+from lexweave.llm.words import mix, word_hashes
 from lexweave.session import in_sets, spread
 
-#: BM25 parameters; items in a block of postings; items in an index (a further index is made beyond it).
+#: BM25 parameters; items in a block of postings; items in an index; bytes of the indexes that one scan of the corpus is
+#: held against (about 3 kB an item; a further scan is made beyond it).
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 32
-INDEX_ITEMS = 1024
-#: Words in a term.
+INDEX_ITEMS = 16_384
+SCAN_BYTES = 128_000_000
+#: Words in a term; what a score may stay below the threshold for rounding.
 TERM_WORDS = 5
-
+NEARLY = 1 - 1e-4
 
 _U = np.uint64
 
@@ -44,38 +47,67 @@ def term_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return acc ^ (acc >> _U(32))
 
 
+def _inside(texts: np.ndarray, k: int) -> np.ndarray:
+    """Whether the k places from each one lie in the same text; ``texts``: the text of each place, in order."""
+    n = max(0, len(texts) - k + 1)
+    return texts[:n] == texts[k - 1 :] if n else np.zeros(0, bool)
+
+
 class ItemIndex:
-    """Inverted index of at most :data:`INDEX_ITEMS` items (each an id with the word hashes of each field)."""
+    """Inverted index of items in flat arrays: postings by (term, item), and the largest impact of each term in each block
+    of items."""
 
-    def __init__(self, items: list[tuple[str, list[np.ndarray]]], run: int):
-        self.run, self.ids = run, [i for i, _ in items]
+    def __init__(self, ids: list[str], words: np.ndarray, sizes: np.ndarray, item: np.ndarray, field: np.ndarray, run: int):
+        """``words``: word hashes of all texts one after another, ``sizes`` words of text, of ``item`` and ``field``."""
+        self.run, self.ids = run, ids
         self.width = min(TERM_WORDS, run)
         self.span = run - self.width + 1  # terms in a passage
-        texts = [[term_hashes(ws, self.width) for ws in fields] for _, fields in items]
-        n = len(items)
+        text_of = np.repeat(np.arange(len(sizes)), sizes)
+        inside = _inside(text_of, self.width)
+        h, text_of = term_hashes(words, self.width)[inside], text_of[: len(inside)][inside]
         # Term numbers: 1 + place in the sorted hashes; 0 is any term of no item.
-        self.hashes = np.unique(np.concatenate([t for fields in texts for t in fields] or [np.array([], _U)]))
-        numbered = [[self.number(t) for t in fields] for fields in texts]
-        tfs = [np.unique(np.concatenate(fields or [np.array([], np.int64)]), return_counts=True) for fields in numbered]
-        df = np.bincount(np.concatenate([t for t, _ in tfs] or [np.array([], np.int64)]), minlength=len(self.hashes) + 1)
-        mean = max(1.0, sum(c.sum() for _, c in tfs) / max(1, n))
-        blocks = -(-n // BLOCK_ITEMS) or 1
-        self.block_max = np.zeros((len(self.hashes) + 1, blocks), np.float32)
-        self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        self.runs: list[set[tuple[int, ...]]] = []
-        for k, (fields, (terms, tf)) in enumerate(zip(numbered, tfs)):
-            idf = np.log(1 + (n - df[terms] + 0.5) / (df[terms] + 0.5))
-            impact = dict(zip(terms.tolist(), (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean))).tolist()))
-            runs = {tuple(t[a : a + self.span].tolist()) for t in fields for a in range(len(t) - self.span + 1)}
-            self.runs.append(runs)
-            if not runs:  # an item without a full run can't leak
-                continue
-            least = min(sum(impact[t] for t in set(r)) for r in runs)
-            for t, x in impact.items():
-                self.postings[t].append((k, x / least))
-                at = k // BLOCK_ITEMS
-                self.block_max[t, at] = max(self.block_max[t, at], x / least)
-        self.term_max = self.block_max.max(1)
+        self.hashes, term = np.unique(h, return_inverse=True)
+        owner = item[text_of] if len(text_of) else np.zeros(0, np.int64)
+        n, terms = len(ids), max(1, len(self.hashes))
+        pair, place, tf = np.unique(owner * terms + term, return_inverse=True, return_counts=True)
+        p_item, p_term = pair // terms, pair % terms
+        df = np.bincount(p_term, minlength=terms)
+        length = np.bincount(p_item, weights=tf, minlength=n)
+        mean = max(1.0, length.sum() / max(1, n))
+        idf = np.log(1 + (n - df[p_term] + 0.5) / (df[p_term] + 0.5))
+        impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[p_item] / mean))
+        # Every run of an item as a row of its postings; a term that repeats in a run counts once.
+        at = np.nonzero(_inside(text_of, self.span))[0]
+        rows = np.sort(place[at[:, None] + np.arange(self.span)[None, :]], axis=1) if len(at) else np.zeros((0, self.span), np.int64)
+        first = np.ones(rows.shape, bool)
+        first[:, 1:] = rows[:, 1:] != rows[:, :-1]
+        least = np.full(n, np.inf)
+        if len(at):
+            np.minimum.at(least, owner[at], (impact[rows] * first).sum(1))
+        # Items without a full run can't leak and have no postings.
+        keep = np.isfinite(least[p_item])
+        p_item, p_term, impact = p_item[keep], p_term[keep], (impact / least[p_item])[keep]
+        order = np.lexsort((p_item, p_term))
+        self.item, self.impact = p_item[order].astype(np.int32), impact[order]
+        self.start = np.concatenate([[0, 0], np.cumsum(np.bincount(p_term, minlength=len(self.hashes)))])
+        self.term_max = np.zeros(len(self.hashes) + 1)
+        np.maximum.at(self.term_max, p_term + 1, impact)
+        block = p_term[order] * (n // BLOCK_ITEMS + 1) + self.item // BLOCK_ITEMS
+        edge = np.concatenate([[True], block[1:] != block[:-1]]) if len(block) else np.zeros(0, bool)
+        self.block_of = np.cumsum(edge) - 1  # of each posting
+        self.block_max = np.maximum.reduceat(self.impact, np.nonzero(edge)[0]) if len(block) else np.zeros(0)
+        # What verifies: a run's words in a field of an item.
+        fields = field[text_of[at]] if len(at) else np.zeros(0, np.int64)
+        self.runs = np.unique(self._run_key(term_hashes(h, self.span)[at] if len(at) else np.zeros(0, _U), owner[at], fields))
+        self.fields = int(field.max()) + 1 if len(field) else 0
+
+    @staticmethod
+    def _run_key(run_hash: np.ndarray, item: np.ndarray, field: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(run_hash + (np.asarray(item) * 64 + np.asarray(field)).astype(_U) * _U(0x9E3779B97F4A7C15), 5)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.item, self.impact, self.start, self.term_max, self.block_of, self.block_max, self.runs)) + sum(map(len, self.ids))
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -83,68 +115,128 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at + 1, 0)
 
-    def search(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(document number, item number) once each. ``words``: word hashes of documents one after another; ``ends``:
-        where each document ends."""
-        terms = self.number(term_hashes(words, self.width))
-        if len(words) < self.run:
+    def wand(self, terms: list[int]) -> Iterator[int]:
+        """The items whose score for the distinct ``terms`` reaches 1, by block-max WAND: cursors over the postings in order
+        of items. The pivot is the first item that the terms up to its cursor could bring to the threshold; if the maxima
+        of the blocks there can't, the cursors before it jump past the nearest end of a block."""
+        cursors = [[int(self.start[t]), int(self.start[t + 1]), float(self.term_max[t])] for t in terms if t and self.start[t] < self.start[t + 1]]
+        while cursors:
+            cursors.sort(key=lambda c: self.item[c[0]])
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += c[2]
+                if bound >= NEARLY:
+                    pivot = k
+                    break
+            if pivot < 0:
+                return
+            item = int(self.item[cursors[pivot][0]])
+            while pivot + 1 < len(cursors) and self.item[cursors[pivot + 1][0]] == item:
+                pivot += 1
+            near = cursors[: pivot + 1]
+            # A cursor before the pivot may bring what its block that holds or follows the pivot's item has at most.
+            for c in near:
+                c[0] += int(np.searchsorted(self.item[c[0] : c[1]], item))
+            live = [c for c in near if c[0] < c[1]]
+            bound = sum(float(self.block_max[self.block_of[c[0]]]) for c in live if self.item[c[0]] // BLOCK_ITEMS == item // BLOCK_ITEMS)
+            if bound >= NEARLY:
+                if sum(float(self.impact[c[0]]) for c in live if self.item[c[0]] == item) >= NEARLY:
+                    yield item
+                past = item + 1
+            else:
+                past = (item // BLOCK_ITEMS + 1) * BLOCK_ITEMS
+                if pivot + 1 < len(cursors):
+                    past = max(item + 1, min(past, int(self.item[cursors[pivot + 1][0]])))
+            for c in live:
+                c[0] += int(np.searchsorted(self.item[c[0] : c[1]], past))
+            cursors = [c for c in cursors if c[0] < c[1]]
+
+    def search(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document number, item number, field, passages) once each. ``words``: word hashes of documents one after
+        another; ``ends``: where each document ends."""
+        if len(words) < self.run or not len(self.hashes):
             return
-        # WAND's pivot: a passage whose summed upper bounds stay below the threshold is skipped (a repeated term only
-        # raises its sum).
-        s = np.concatenate([np.zeros(1), np.cumsum(self.term_max[terms], dtype=np.float64)])
-        start = np.nonzero(s[self.span :] - s[: -self.span] >= 1 - 1e-4)[0]
+        hashed = term_hashes(words, self.width)
+        terms = self.number(hashed)
+        # A passage whose summed upper bounds stay below the threshold has no pivot (a repeated term only raises its sum).
+        s = np.concatenate([np.zeros(1), np.cumsum(self.term_max[terms])])
+        start = np.nonzero(s[self.span :] - s[: -self.span] >= NEARLY - 1e-9 * s[-1])[0]
         doc = np.searchsorted(ends, start, side="right")
         inside = start + self.run <= ends[doc]
         start, doc = start[inside], doc[inside]
-        found: set[tuple[int, int]] = set()
-        for lo in range(0, len(start), 20_000):
-            at, of = start[lo : lo + 20_000], doc[lo : lo + 20_000]
-            # Block-max bounds of each block of items; then the items of the blocks that remain are scored.
-            bound = sum((self.block_max[terms[at + j]] for j in range(1, self.span)), self.block_max[terms[at]].copy())
-            for q in np.nonzero(bound.max(1) >= 1 - 1e-4)[0]:
-                query = tuple(terms[at[q] : at[q] + self.span].tolist())
-                live = set(np.nonzero(bound[q] >= 1 - 1e-4)[0].tolist())
-                score: dict[int, float] = defaultdict(float)
-                for t in set(query):
-                    for k, x in self.postings.get(t, ()):
-                        if k // BLOCK_ITEMS in live:
-                            score[k] += x
-                for k, x in score.items():
-                    pair = (int(of[q]), k)
-                    if x >= 1 - 1e-4 and pair not in found and query in self.runs[k]:
-                        found.add(pair)
-                        yield pair
-
-
-def _scan(batches: Iterable[pa.RecordBatch], index: ItemIndex, logp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int, int], int] = {}
+        for at, of in zip(start.tolist(), doc.tolist()):
+            own = None
+            for item in self.wand(np.unique(terms[at : at + self.span]).tolist()):
+                own = term_hashes(hashed[at : at + self.span], self.span) if own is None else own
+                for f in range(self.fields):
+                    key = self._run_key(own, np.array([item]), np.array([f]))
+                    k = int(np.searchsorted(self.runs, key[0]))
+                    if k < len(self.runs) and self.runs[k] == key[0]:
+                        found[of, item, f] = found.get((of, item, f), 0) + 1
+        for (of, item, f), n in found.items():
+            yield of, item, f, n
+
+
+def _scan(batches: Iterable[pa.RecordBatch], indexes: list[ItemIndex], fields: tuple[str, ...], logp: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 512):
             part = b.slice(lo, 512)
             words, n = word_hashes(part.column(1).to_pylist(), logp)
-            hits = list(index.search(words, np.cumsum(n)))
-            yield pa.record_batch({"doc_id": part.column(0).take(pa.array([d for d, _ in hits], pa.int64())), "item_id": pa.array([index.ids[k] for _, k in hits], pa.string())})
+            ends = np.cumsum(n)
+            hits = [(d, ix.ids[k], fields[f], m) for ix in indexes for d, k, f, m in ix.search(words, ends)]
+            docs, items, names, counts = zip(*hits) if hits else ((), (), (), ())
+            yield pa.record_batch(
+                {"doc_id": part.column(0).take(pa.array(docs, pa.int64())), "item_id": pa.array(items, pa.string()), "field": pa.array(names, pa.string()), "n_passages": pa.array(counts, pa.int64())}
+            )
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, logp: np.ndarray, run: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "id", fields: tuple[str, ...] = ("query", "reference_answer")) -> DataFrame:
-    """(doc_id, item_id): the document holds at least ``run`` consecutive words of a field of the item.
-
-    Null and short texts and fields match nothing; repeated documents and items count once; an empty table gives an
-    empty result. Items are indexed in sets of :data:`INDEX_ITEMS`, every document is held against each set; an index is
-    so bounded by that number of items, and the documents are never shuffled.
+def _indexes(rows: DataFrame, fields: tuple[str, ...], run: int, logp: np.ndarray) -> Iterator[ItemIndex]:
+    for part in in_sets(rows, "id", INDEX_ITEMS):
+        texts, item, field = [], [], []
+        for k, r in enumerate(part):
+            for f in range(len(fields)):
+                for t in sorted(r[f"f{f}"]):
+                    texts.append(t)
+                    item.append(k)
+                    field.append(f)
+        words, sizes = word_hashes(texts, logp)
+        yield ItemIndex([r["id"] for r in part], words, sizes, np.array(item, np.int64), np.array(field, np.int64), run)
+
+
+def find_leak_fields(docs: DataFrame, items: DataFrame, logp: np.ndarray, run: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "id", fields: tuple[str, ...] = ("query", "reference_answer")) -> DataFrame:
+    """(doc_id, item_id, field, n_passages): the document holds n_passages passages of ``run`` consecutive words that the
+    item's field has. Of repeated document rows the most passages stand.
+
+    Null and short texts and fields match nothing; repeated documents and items count once; an empty table gives an empty
+    result. Items are indexed in sets of :data:`INDEX_ITEMS`; all indexes that fit into :data:`SCAN_BYTES` are broadcast
+    together and held against every document in one scan. The documents are never shuffled.
     """
+    if not 1 <= len(fields) <= 64:
+        raise ValueError("1 to 64 fields")
     kind = dict(docs.dtypes)[doc_id]
-    schema = f"doc_id {kind}, item_id string"
+    schema = f"doc_id {kind}, item_id string, field string, n_passages bigint"
     rows = items.where(F.col(item_id).isNotNull()).groupBy(F.col(item_id).cast("string").alias("id")).agg(*[F.collect_set(f).alias(f"f{k}") for k, f in enumerate(fields)])
     base = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null"))
+    groups: list[list[ItemIndex]] = []
+    filled = 0
+    for index in _indexes(rows, fields, run, logp):
+        if not groups or filled + index.nbytes() > SCAN_BYTES:
+            groups.append([])
+            filled = 0
+        groups[-1].append(index)
+        filled += index.nbytes()
     out = None
-    for part in in_sets(rows, "id", INDEX_ITEMS):
-        index = ItemIndex([(r["id"], _split(*word_hashes([t for k in range(len(fields)) for t in r[f"f{k}"]], logp))) for r in part], run)
-        found = base.mapInArrow(lambda it, ix=index: _scan(it, ix, logp), schema)
+    for group in groups:
+        shared = docs.sparkSession.sparkContext.broadcast(group)
+        found = base.mapInArrow(lambda it, own=shared: _scan(it, own.value, fields, logp), schema)
         out = found if out is None else out.unionAll(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
-    return out.distinct()
+    return out.groupBy("doc_id", "item_id", "field").agg(F.max("n_passages").alias("n_passages"))
 
 
-def _split(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    return np.split(h, np.cumsum(n)[:-1]) if len(n) else []
+def find_leaks(docs: DataFrame, items: DataFrame, logp: np.ndarray, run: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "id", fields: tuple[str, ...] = ("query", "reference_answer")) -> DataFrame:
+    """(doc_id, item_id): the document holds at least ``run`` consecutive words of a field of the item; cases as in
+    :func:`find_leak_fields`."""
+    return find_leak_fields(docs, items, logp, run, doc_id, text, item_id, fields).select("doc_id", "item_id").distinct()

@@ -102,6 +102,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(docs, items, scores)
 
 
+def p8_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Which field leaked, and in how many passages."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark_queries")
+    return leakage.find_leak_fields(docs, items, canonical.train(docs.select("text")))
+
+
 def _mixed(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)
 
@@ -132,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_pieces, p3_found, p3_conversations, p5_found, p5_groups, p6_found, p6_main_text, p7_found, p7_canonical,
-        p8_found, p9_found, p9_report, p9_picked, p10_found, p10_statistics,
+        p8_found, p8_fields, p9_found, p9_report, p9_picked, p10_found, p10_statistics,
     )
 }
 

@@ -65,3 +65,38 @@ def test_several_index_sets(spark, monkeypatch):
 def test_empty_tables(spark):
     d, i = frames(spark, *make(1))
     assert leakage.find_leaks(d.limit(0), i, SCORES).count() == 0 and leakage.find_leaks(d, i.limit(0), SCORES).count() == 0
+
+
+def test_fields_and_one_scan(spark, monkeypatch):
+    docs, items = make(4)
+    d, i = frames(spark, docs, items)
+    want = {}
+    for field, at in (("query", 1), ("reference_answer", 2)):
+        for doc, item in brute(docs, [(x[0], x[at], None) for x in items], 12):
+            want[doc, item] = want.get((doc, item), set()) | {field}
+    monkeypatch.setattr(leakage, "INDEX_ITEMS", 7)
+    df = leakage.find_leak_fields(d, i, SCORES)
+    got = {}
+    for r in df.collect():
+        got.setdefault((r["doc_id"], r["item_id"]), set()).add(r["field"])
+        assert r["n_passages"] >= 1
+    assert got == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # six indexes, one pass over the documents
+    monkeypatch.setattr(leakage, "SCAN_BYTES", 1)
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, i, SCORES).collect()} == set(want)
+
+
+def test_wand_gives_all_items_at_the_threshold(monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 3)
+    r = random.Random(6)
+    texts = [np.array([r.randrange(30) for _ in range(r.choice([3, 6, 20]))], np.uint64) for _ in range(80)]
+    sizes = np.array([len(t) for t in texts])
+    ix = leakage.ItemIndex([str(k) for k in range(40)], np.concatenate(texts), sizes, np.arange(80) // 2, np.arange(80) % 2, 4)
+    for _ in range(300):
+        terms = sorted({r.randrange(len(ix.hashes) + 1) for _ in range(r.choice([1, 2, 5, 9]))})
+        score = {}
+        for t in terms:
+            for k in range(ix.start[t], ix.start[t + 1]):
+                score[int(ix.item[k])] = score.get(int(ix.item[k]), 0) + ix.impact[k]
+        assert sorted(ix.wand(terms)) == sorted(k for k, x in score.items() if x >= leakage.NEARLY)
