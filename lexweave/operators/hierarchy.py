@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from lexweave.operators.graph import connected_components
 from lexweave.session import materialize
 
-#: Rows contracted at once, and nodes that a component may have to be traversed in one task.
-CHUNK_ROWS, MAX_COMPONENT = 200_000, 500_000
+#: Rows contracted at once, nodes that a component may have to be traversed in one task, and path cells of a batch of rows.
+CHUNK_ROWS, MAX_COMPONENT, BATCH_CELLS = 200_000, 500_000, 500_000
 TREE = "node_id string, parent_id string, root_id string, depth int, path array<string>, n_descendants bigint, fault string"
 
 
@@ -66,8 +66,9 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(ids, parents, orphans)
 
 
-def traverse(ids: list[str], parents: list[str | None], orphans: list[bool]) -> list[tuple]:
-    """Rows of :data:`TREE` of one component."""
+def traverse(ids: list[str], parents: list[str | None], orphans: list[bool], paths: bool = True) -> Iterator[tuple]:
+    """Rows of :data:`TREE` of one component, one after another: only the path of the node in hand exists, so a task holds
+    numbers for its nodes and never a path for each. Without ``paths`` that column is null."""
     at = {i: k for k, i in enumerate(ids)}
     up = [at.get(p, -1) if p is not None and not o else -1 for p, o in zip(parents, orphans)]
     down: list[list[int]] = [[] for _ in ids]
@@ -77,25 +78,30 @@ def traverse(ids: list[str], parents: list[str | None], orphans: list[bool]) ->
     white, grey, black = 0, 1, 2
     colour = [white] * len(ids)
     fault: list[str | None] = [None] * len(ids)
-    path: list[list[str] | None] = [None] * len(ids)
-    root: list[str | None] = [None] * len(ids)
     count = [0] * len(ids)
     for start in (k for k, p in enumerate(up) if p < 0):
-        lost = orphans[start]
-        order, stack = [], [start]
+        order, depths, stack = [], [], [(start, 0)]
         while stack:
-            k = stack.pop()
+            k, depth = stack.pop()
             colour[k] = black
             order.append(k)
-            if lost:
-                fault[k] = "lost"
-            else:
-                path[k] = ([] if k == start else path[up[k]]) + [ids[k]]
-                root[k] = ids[start]
-            stack += down[k]
+            depths.append(depth)
+            stack += [(c, depth + 1) for c in down[k]]
         for k in reversed(order):
             if k != start:
                 count[up[k]] += count[k] + 1
+        if orphans[start]:
+            for k in order:
+                fault[k] = "lost"
+                yield ids[k], parents[k], None, None, None, count[k], "lost"
+            continue
+        # In this order a node's ancestors are what is left of the path when it is cut to the node's depth.
+        above: list[str] = []
+        for k, depth in zip(order, depths):
+            if paths:
+                del above[depth:]
+                above.append(ids[k])
+            yield ids[k], parents[k], ids[start], depth, list(above) if paths else None, count[k], None
     # What no root reaches runs in circles: follow the links until a grey node closes a cycle.
     for start in range(len(ids)):
         walk, k = [], start
@@ -113,10 +119,12 @@ def traverse(ids: list[str], parents: list[str | None], orphans: list[bool]) ->
         for j in walk:
             fault[j] = "under_cycle"
             colour[j] = black
-    return [(i, p, r, None if x is None else len(x) - 1, x, None if f in ("on_cycle", "under_cycle") else n, f) for i, p, r, x, n, f in zip(ids, parents, root, path, count, fault)]
+    for i, p, f in zip(ids, parents, fault):
+        if f in ("on_cycle", "under_cycle"):
+            yield i, p, None, None, None, None, f
 
 
-def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trees(batches: Iterable[pa.RecordBatch], paths: bool = True) -> Iterator[pa.RecordBatch]:
     """Rows sorted by component, traversed one component at a time."""
     names = ["node_id", "parent_id", "root_id", "depth", "path", "n_descendants", "fault"]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.string()]
@@ -124,21 +132,28 @@ def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    now, held, out = None, ([], [], []), []
-    for b in batches:
-        for comp, i, p, o in zip(*(c.to_pylist() for c in b.columns)):
-            if comp != now:
-                if held[0]:
-                    out += traverse(*held)
-                    if len(out) >= 10_000:
-                        yield pack(out)
-                        out = []
-                now, held = comp, ([], [], [])
-            held[0].append(i)
-            held[1].append(p)
-            held[2].append(o)
-    if held[0]:
-        out += traverse(*held)
+    def components() -> Iterator[tuple[list, list, list]]:
+        now, held = None, ([], [], [])
+        for b in batches:
+            for comp, i, p, o in zip(*(c.to_pylist() for c in b.columns)):
+                if comp != now:
+                    if held[0]:
+                        yield held
+                    now, held = comp, ([], [], [])
+                held[0].append(i)
+                held[1].append(p)
+                held[2].append(o)
+        if held[0]:
+            yield held
+
+    out, cells = [], 0
+    for held in components():
+        for row in traverse(*held, paths):
+            out.append(row)
+            cells += 8 + len(row[4] or ())
+            if cells >= BATCH_CELLS:
+                yield pack(out)
+                out, cells = [], 0
     if out:
         yield pack(out)
 
@@ -171,8 +186,9 @@ def _doubling(rows: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "root_id", (F.size("path") - 1).alias("depth"), "path", F.when(F.col("fault").isNull() | (F.col("fault") == "lost"), F.coalesce("n", F.lit(0))).alias("n_descendants"), "fault").withColumn("depth", F.when(F.col("fault").isNull(), F.col("depth")).cast("int"))
 
 
-def hierarchy(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", document: str | None = "source_file", max_component: int = MAX_COMPONENT) -> DataFrame:
-    """Every node with its parent, root, depth (0 for a root), path from the root, number of descendants and fault.
+def hierarchy(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", document: str | None = "source_file", max_component: int = MAX_COMPONENT, paths: bool = True) -> DataFrame:
+    """Every node with its parent, root, depth (0 for a root), path from the root, number of descendants and fault. Where no
+    one asks for paths, ``paths=False`` leaves them null and spares their cells (the sum of all depths).
 
     fault is null for a node under a root, ``on_cycle`` if its links return to it, ``under_cycle`` if they enter a cycle
     that it is not on, ``lost`` if they end at an id that no row has; a faulty node has no root, depth or path. Columns
@@ -189,12 +205,32 @@ def hierarchy(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id"
     sizes = tied.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > max_component).select("component")
     big = materialize(sizes)
     small = tied if big.isEmpty() else tied.join(big, "component", "left_anti")
-    trees = small.select("component", "id", "parent", "orphan").repartition("component").sortWithinPartitions("component", "id").mapInArrow(_trees, TREE)
+    trees = small.select("component", "id", "parent", "orphan").repartition("component").sortWithinPartitions("component", "id").mapInArrow(lambda it: _trees(it, paths), TREE)
     if not big.isEmpty():
-        trees = trees.unionByName(_doubling(materialize(tied.join(big, "component").select("id", "parent", "orphan"))))
+        rest = _doubling(materialize(tied.join(big, "component").select("id", "parent", "orphan")))
+        trees = trees.unionByName(rest if paths else rest.withColumn("path", F.lit(None).cast("array<string>")))
     return trees
 
 
+def cycles(trees: DataFrame) -> DataFrame:
+    """(cycle_id, node_id, position, next_id, closes): the circles that links run in. cycle_id is a circle's smallest node;
+    position counts from it along the links, next_id is the parent, and ``closes`` marks the back edge, the link that leads
+    from the last position to the first. Pointer doubling on the circles' own nodes."""
+    ring = trees.where("fault = 'on_cycle'").select(F.col("node_id").alias("id"), F.col("parent_id").alias("next"))
+    ring = materialize(ring)
+    of = connected_components(ring, "id", "next").select(F.col("node").alias("id"), F.col("component").alias("cycle_id"))
+    base = ring.join(of, "id")
+    lengths = base.groupBy("cycle_id").agg(F.count("*").alias("n"))
+    base = materialize(base.join(lengths, "cycle_id"))
+    # The distance to the smallest node along the links; that node's own is 0.
+    state = materialize(base.select("id", F.when(F.col("id") == F.col("cycle_id"), F.lit(None)).otherwise(F.col("next")).alias("ptr"), F.when(F.col("id") == F.col("cycle_id"), 0).otherwise(1).cast("long").alias("d")))
+    while not state.where("ptr is not null").isEmpty():
+        q = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("d").alias("d2"))
+        state = materialize(state.join(q, "ptr", "left").select("id", F.col("ptr2").alias("ptr"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
+    out = base.join(state.select("id", "d"), "id").withColumn("position", F.when(F.col("d") == 0, 0).otherwise(F.col("n") - F.col("d")).cast("bigint"))
+    return out.select("cycle_id", F.col("id").alias("node_id"), "position", F.col("next").alias("next_id"), (F.col("position") == F.col("n") - 1).alias("closes"))
+
+
 def _chains(faulty: DataFrame) -> DataFrame:
     """(id, up) of nodes without a root: the node and the ancestors that its links reach, nearest first, each once, so a
     chain ends before a missing id and goes once round a cycle. By doubling; a chain that meets itself is whole."""

@@ -49,8 +49,10 @@ def joined_states(left: DataFrame, right: DataFrame, key: str, left_size: str |
 
 def heavy_keys(df: DataFrame, key: str, share: float, other: DataFrame) -> DataFrame:
     """(key, n_rows, share, n_other) of the non-null keys with more than ``share`` of all rows, null keys' rows included;
-    n_other is the key's number of rows in ``other``. Both inputs are aggregated by key, the states are joined, and the
-    number of all rows is read from the files' footers."""
+    n_other is the key's number of rows in ``other``. Both inputs are aggregated by key and the states are joined; the test
+    is made on the rows that the join would have: a key is heavy if they are more than ``share`` of all rows, each counted
+    once for every match of the key. The number of all rows is read from the files' footers."""
     total = df.count()
-    s = joined_states(df, other, key, how="left").where(F.col(key).isNotNull() & (F.col("n_left") > F.lit(share) * F.lit(total)))
+    matches = F.greatest("n_right", F.lit(1))
+    s = joined_states(df, other, key, how="left").where(F.col(key).isNotNull() & (F.col("n_joined") > F.lit(share) * F.lit(total) * matches))
     return s.select(key, F.col("n_left").alias("n_rows"), F.round(F.col("n_left") / F.lit(max(1, total)), 6).alias("share"), F.col("n_right").alias("n_other"))

@@ -14,7 +14,12 @@ from lexweave.streaming import rate
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy(table(spark, d, "hierarchy_nodes")).where("fault is not null").select("node_id", "fault")
+    return hierarchy.hierarchy(table(spark, d, "hierarchy_nodes"), paths=False).where("fault is not null").select("node_id", "fault")
+
+
+def p2_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """The circles themselves, with the link that closes each."""
+    return hierarchy.cycles(hierarchy.hierarchy(table(spark, d, "hierarchy_nodes"), paths=False))
 
 
 def p2_trees(spark: SparkSession, d: str) -> DataFrame:
@@ -417,7 +422,7 @@ FLAGSHIP = "bm25_topk"
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_trees, p2_descendants, p2_all_descendants, p4_found, p4_per_law, p4_joined, bm25_corpus_stats, bm25_document_frequency, bm25_postings_by_doc, bm25_topk,
+        p2_found, p2_cycles, p2_trees, p2_descendants, p2_all_descendants, p4_found, p4_per_law, p4_joined, bm25_corpus_stats, bm25_document_frequency, bm25_postings_by_doc, bm25_topk,
         dense_topk, dense_topk_filtered, vector_diagnostics, rrf_hybrid_topk, quota_hybrid_topk, diverse_hybrid_topk, reranked_topk, fallback_topk, whole_fallback_topk,
         retrieval_metrics_per_query, retrieval_metrics, retrieval_breakdowns, fusion_ablation, evidence_packets, evidence_prompts, citation_guard, text_keys,
         near_duplicate_titles, article_references, text_markers, secret_scan, language_counts, chunk_issues, duplicate_keys, latest_chunks, text_length_summary,
@@ -448,6 +453,12 @@ _TREE_SQL = r"""
 """
 SQL = {
     "p2_found": _TREE_SQL + "SELECT node_id, fault FROM fault",
+    "p2_cycles": _TREE_SQL
+    + """, ring AS (SELECT n.id, n.parent FROM n JOIN fault f ON f.node_id = n.id AND f.fault = 'on_cycle'),
+        least AS (SELECT src AS id, min(cur) AS cycle_id, count(*) AS k FROM walk WHERE src IN (SELECT id FROM ring) GROUP BY src),
+        along AS (SELECT id AS cycle_id, id AS cur, 0 AS position FROM least WHERE id = cycle_id
+                  UNION ALL SELECT a.cycle_id, r.parent, a.position + 1 FROM along a JOIN ring r ON r.id = a.cur WHERE r.parent <> a.cycle_id)
+        SELECT a.cycle_id, a.cur AS node_id, a.position::BIGINT AS position, r.parent AS next_id, r.parent = a.cycle_id AS closes FROM along a JOIN ring r ON r.id = a.cur""",
     "p2_trees": _TREE_SQL
     + """, below AS (SELECT a AS id, count(*) AS k FROM (SELECT unnest(path[:-2]) AS a FROM good) GROUP BY a),
         under AS (SELECT id AS anc, id AS cur FROM lost UNION ALL SELECT u.anc, n.id FROM under u JOIN n ON n.parent = u.cur),

@@ -20,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests, one machine) a temporary folder is made and set."""
+    """The folder that all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset and all
+    runs in one process (tests) a temporary folder is made and set. On a cluster its absence is an error: a folder of one
+    machine would lose rows."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="lexweave-")
         spark.conf.set("spark.checkpoint.dir", named)
         _made.append((spark, named))

@@ -116,3 +116,27 @@ def test_components(spark):
             up[y] = x
     got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(e, "src string, dst string")).collect()}
     assert got == {n: top(n) for n in up}
+
+
+def test_cycles_as_rows(spark):
+    rows = [("a", "c"), ("b", "a"), ("c", "b"), ("d", "a"), ("s", "s"), ("x", "y"), ("y", "x"), ("r", None), ("l", "gone")]
+    df = spark.createDataFrame([(*r, "f") for r in rows], "node_id string, parent_id string, source_file string")
+    want = {("a", "a", 0, "c", False), ("a", "c", 1, "b", False), ("a", "b", 2, "a", True), ("s", "s", 0, "s", True), ("x", "x", 0, "y", False), ("x", "y", 1, "x", True)}
+    for size in (hierarchy.MAX_COMPONENT, 1):
+        assert {tuple(r) for r in hierarchy.cycles(hierarchy.hierarchy(df, max_component=size, paths=False)).collect()} == want
+    assert hierarchy.cycles(hierarchy.hierarchy(df.limit(0))).count() == 0
+
+
+def test_long_chain_holds_no_path_for_each_node():
+    import tracemalloc
+
+    n = 200_000
+    ids = [f"n{k}" for k in range(n)]
+    rows = hierarchy.traverse(ids, [None, *ids[:-1]], [False] * n, paths=False)
+    assert sum(1 for r in rows if r[3] is not None) == n
+    # With paths a row's path exists only while the row is in hand.
+    tracemalloc.start()
+    for k, row in enumerate(hierarchy.traverse(ids[:5000], [None, *ids[:4999]], [False] * 5000)):
+        assert len(row[4]) == k + 1
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()

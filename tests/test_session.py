@@ -37,3 +37,27 @@ def test_the_rest_stands_without_the_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'p2_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "", "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    import pytest
+
+    from lexweave import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        Context.master = master
+        with pytest.raises(RuntimeError):
+            session.shared_dir(Session())

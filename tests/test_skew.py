@@ -42,3 +42,11 @@ def test_plan_combines_before_the_shuffle(spark):
     _, df = rows(spark)
     plan = skew.key_states(df, "law_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_heavy_keys_run_the_join(spark):
+    from lexweave import registry
+
+    plan = registry.p4_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "normalized_artifacts" in plan or plan.count("Relation") == 2
+    assert plan.count("Aggregate") == 2
