@@ -53,6 +53,52 @@ def page_checks(least_chars: int = 500, domains: Sequence[str] = ()) -> dict[str
     return checks
 
 
+def holds_any(c: Column, phrases: Sequence[str]) -> Column:
+    """Whether a text holds one of the phrases, case ignored."""
+    low, out = F.lower(c), F.lit(False)
+    for p in phrases:
+        out = out | F.contains(low, F.lit(p.lower()))
+    return out
+
+
+def first_position(c: Column | str, patterns: Sequence[str]) -> Column:
+    """The least place (from 0) at which one of the patterns begins in a text; null if none occurs."""
+    t = F.coalesce(text.col(c), F.lit(""))
+    at = [F.regexp_instr(t, F.lit(p)) for p in patterns]
+    return F.array_min(F.filter(F.array(*at), lambda x: x > 0)) - 1
+
+
+def suspicious_flags(c: Column | str, start_phrases: Sequence[str] = (), end_phrases: Sequence[str] = (), least_chars: int = 5000, most_repeated: float = 0.2) -> Column:
+    """What speaks against a cleaned text, in this order: short_normalized_text, missing_article_headings,
+    missing_article_1_heading, high_duplicate_line_ratio, possible_wrong_start (a phrase in its first 20 lines),
+    possible_wrong_end (in its last 40). A null text counts as empty."""
+    t = F.coalesce(text.col(c), F.lit(""))
+    heads, rows = text.article_numbers(t, True), text.lines(t)
+    part = lambda x: F.array_join(x, "\n")
+    flags = {
+        "short_normalized_text": F.length(t) < least_chars,
+        "missing_article_headings": F.size(heads) == 0,
+        "missing_article_1_heading": ~F.array_contains(heads, 1),
+        "high_duplicate_line_ratio": text.duplicate_line_ratio(t) > most_repeated,
+        "possible_wrong_start": holds_any(part(F.slice(rows, 1, 20)), start_phrases),
+        "possible_wrong_end": holds_any(part(F.slice(rows, F.greatest(F.size(rows) - 39, F.lit(1)), 40)), end_phrases),
+    }
+    return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()]))
+
+
+def article_checks(nodes: DataFrame, expected: DataFrame, key: str = "law_id") -> DataFrame:
+    """(key, n_articles, expected_articles, code) of documents whose tree and cleaned text disagree: NO_ARTICLES_FOUND,
+    MISSING_ARTICLE_1 (the text has its heading, the tree has no such node) or ARTICLE_COUNT_MISMATCH. ``expected``: key,
+    article_heading_count, has_heading_article_1; the largest of repeated rows counts. Levels compare in small letters."""
+    article = F.lower(F.trim("level")) == "article"
+    n = nodes.where(F.col(key).isNotNull()).select(key, "node_id", article.alias("a"), (article & (F.trim("number") == "1")).alias("one")).distinct()
+    n = n.groupBy(key).agg(F.count_if("a").alias("n_articles"), F.coalesce(F.max("one"), F.lit(False)).alias("one"))
+    e = expected.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("article_heading_count").alias("expected_articles"), F.max("has_heading_article_1").alias("want_one"))
+    none = F.col("n_articles") == 0
+    codes = F.array_compact(F.array(F.when(none, "NO_ARTICLES_FOUND"), F.when(~none & F.col("want_one") & ~F.col("one"), "MISSING_ARTICLE_1"), F.when(~none & (F.col("n_articles") != F.col("expected_articles")), "ARTICLE_COUNT_MISMATCH")))
+    return n.join(e, key).select(key, "n_articles", "expected_articles", F.explode(codes).alias("code"))
+
+
 def raw_and_cleaned(raw: DataFrame, cleaned: DataFrame, key: str = "raw_artifact_path") -> DataFrame:
     """(key, raw_chars, clean_chars, ratio, flag) of pages that both tables have; flag: possibly_incomplete below 0.2 of
     the raw size, possibly_uncleaned above 0.85. The longest row of each side counts. Only lengths are joined."""

@@ -266,6 +266,20 @@ def chunk(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     )
 
 
+def source_warnings(chunks: DataFrame, issues: DataFrame) -> DataFrame:
+    """(chunk_id, source_warnings, caveat_references) of the chunks whose own node or article has issues (node_id, code):
+    the codes, and ``code:node`` references, each once and in order. Chunks without any have no row."""
+    own = chunks.select("chunk_id", F.explode(F.array_distinct(F.array_compact(F.array("source_node_id", "parent_article_node_id")))).alias("node_id"))
+    j = own.join(issues.where("node_id is not null").select("node_id", "code").distinct(), "node_id")
+    # A chunk has two nodes, and a node as many issues as there are codes.
+    return j.groupBy("chunk_id").agg(F.sort_array(F.collect_set("code")).alias("source_warnings"), F.sort_array(F.collect_set(F.concat_ws(":", "code", "node_id"))).alias("caveat_references"))
+
+
+def empty_article_warnings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, code, source_node_id) of article chunks that keep an empty or repealed article."""
+    return chunks.where((F.col("level") == "article") & F.col("is_empty_or_repealed")).select("chunk_id", F.lit("EMPTY_ARTICLE_CHUNK").alias("code"), "source_node_id")
+
+
 def tree_issues(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, code) of broken invariants of section trees: duplicate ids, missing or wrong roots, parents that
     no row has, levels that can't be below each other, spans outside the parent's, overlapping siblings, texts that are

@@ -24,6 +24,19 @@ def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return s.select("n_rows", F.sha2(F.concat_ws("|", F.lit(",".join(cols)), "n_rows", *[F.coalesce(F.col(f"l{i}").cast("string"), F.lit("0")) for i in range(4)]), 256).alias("fingerprint"))
 
 
+def ordered_fingerprint(df: DataFrame, position: str, columns: list[str] | None = None) -> DataFrame:
+    """One row as of :func:`table_fingerprint`, in which the place of every row counts: ``position`` is part of its hash."""
+    return table_fingerprint(df, [*(columns or [c for c in df.columns if c != position]), position])
+
+
+def manifest_hash(manifest: dict, own: str) -> str:
+    """SHA-256 of a manifest's canonical JSON, in which the field ``own``, where the hash itself is kept, counts as zeros."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps({**manifest, own: "0" * 64}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def point_id(name: Column | str, namespace: str) -> Column:
     """UUID version 5 of a name under the version-5 UUID of ``namespace`` in the URL space: SHA-1 in the JVM, with version
     and variant bits set."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import text
+from lexweave.session import materialize
 
 TEMPLATES = {"text_only": ("text",), "citation_text": ("citation", "text"), "law_citation_text": ("law_name", "citation", "text")}
 
@@ -36,6 +37,45 @@ def payload_filter(exclude_repealed: bool = False, **equal: str) -> Column:
     return cond
 
 
+#: The columns of a chunk that a vector's payload holds, those of a hit, and what a hit must not lack.
+PAYLOAD = (
+    "chunk_id", "law_id", "law_name", "level", "chunk_kind", "article_number", "article_title", "clause_number", "point_label", "citation", "hierarchy_path", "source_node_id",
+    "parent_article_node_id", "parent_chunk_id", "text", "parent_text", "text_hash", "parent_text_hash", "source_url", "source_domain", "source_type", "source_file",
+)
+CRITICAL = ("chunk_id", "law_id", "citation", "text")
+
+
+def vector_payload(chunks: DataFrame, model: str, run_id: str, revision: str | None = None, schema_version: str = "0.1.0") -> DataFrame:
+    """The chunks' columns as they stand, metadata and warnings, where the vectors came from, and what is never inferred:
+    dates and status are null, tags are empty. Blank provenance raises."""
+    for name, x in (("model", model), ("run_id", run_id), ("schema_version", schema_version), *([("revision", revision)] if revision is not None else [])):
+        if not x or not x.strip():
+            raise ValueError(f"{name} must not be blank")
+    lit = lambda x: F.lit(x).cast("string")
+    return chunks.select(
+        lit(schema_version).alias("schema_version"), *PAYLOAD, "metadata", "warnings", lit(model).alias("embedding_model"), lit(revision).alias("embedding_revision"), lit(run_id).alias("indexing_run_id"),
+        lit(None).alias("effective_date"), lit(None).alias("expiry_date"), lit(None).alias("status"), F.array().cast("array<string>").alias("domain_tags"),
+    )
+
+
+def hits_of(payloads: DataFrame, point_id: str | None = None) -> DataFrame:
+    """Payload rows as hits: text columns trimmed, blank ones null; ``issues`` names the critical fields that are missing
+    in the payload. With ``point_id`` (dense search) a missing chunk_id is that id, and is an issue still."""
+    clean = {c: text.blank_to_null(c) for c in PAYLOAD}
+    missing = F.array_compact(F.array(*[F.when(clean[c].isNull(), F.lit(c)) for c in CRITICAL]))
+    shown = {c: F.trim(v) for c, v in clean.items()}
+    if point_id:
+        shown["chunk_id"] = F.coalesce(shown["chunk_id"], F.trim(text.blank_to_null(point_id)))
+    rest = [c for c in payloads.columns if c not in PAYLOAD]
+    return payloads.select(*rest, *[v.alias(c) for c, v in shown.items()], missing.alias("issues"))
+
+
+def schema_differences(actual: DataFrame, wanted: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(column, wanted type, actual type) where a table differs from what an index needs; '' where a column is missing."""
+    have = dict(actual.dtypes)
+    return [(c, t, have.get(c, "")) for c, t in wanted.items() if have.get(c, "") != t]
+
+
 def hashed_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic encoder without a model, for tests and dry runs: signed feature hashing of words, unit length."""
     import zlib
@@ -85,10 +125,9 @@ def index_run(chunks: DataFrame, path: str, key: str, content: Column, make_enco
     spark = chunks.sparkSession
 
     def stored() -> DataFrame | None:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # there is no index yet
-            return None
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return spark.read.parquet(path) if there else None  # what is there and can't be read is an error
 
     before = stored()
     n_before = 0 if before is None else before.count()
@@ -98,7 +137,8 @@ def index_run(chunks: DataFrame, path: str, key: str, content: Column, make_enco
         now = stored()
         if now is not None:
             part = remaining(part, now, key)
-        rows = embed(part, content, make_encoder).where("embedding is not null")
+        # Written once: what follows looks at the rows several times, and the encoder runs once.
+        rows = materialize(embed(part, content, make_encoder).where("embedding is not null"))
         if not rows.isEmpty():
             upsert_parquet(spark, path, rows, key)
     after = stored()

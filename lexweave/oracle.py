@@ -90,6 +90,28 @@ _ISSUES = {
     "NOT_IN_PARENT": "NOT contains(parent_text, text)",
 }
 
+_OUTCOMES = (
+    _CASES
+    + """, w AS (SELECT DISTINCT query_id, doc_id FROM j), r AS (SELECT * FROM fr WHERE rank <= 10), s AS (SELECT * FROM fr WHERE rank <= 3 AND sparse_rank IS NOT NULL),
+    asked AS (SELECT doc_id AS query_id, lower(trim(lang)) AS lang, lower(trim(source)) AS source FROM documents WHERE doc_id % 100 = 0),
+    k AS (SELECT query_id, lang, source, (SELECT count(*) FROM w WHERE w.query_id = a.query_id) AS n_required, (SELECT count(*) FROM r WHERE r.query_id = a.query_id) AS n_retrieved,
+        (SELECT count(*) FROM s WHERE s.query_id = a.query_id) AS n_selected, (SELECT count(*) FROM w JOIN r USING (query_id, doc_id) WHERE w.query_id = a.query_id) AS n_required_retrieved,
+        (SELECT count(*) FROM w JOIN s USING (query_id, doc_id) WHERE w.query_id = a.query_id) AS n_required_selected,
+        (SELECT count(*) FROM w JOIN r USING (query_id, doc_id) ANTI JOIN s USING (query_id, doc_id) WHERE w.query_id = a.query_id) AS n_missed FROM asked a),
+    o AS (SELECT *, CASE WHEN n_required = 0 THEN 'no_required_evidence_defined' WHEN n_required_retrieved = 0 THEN 'required_evidence_not_retrieved'
+        WHEN n_required_selected > 0 THEN 'required_evidence_retrieved_and_selected' ELSE 'required_evidence_retrieved_but_not_selected' END AS outcome FROM k)"""
+)
+_PROVISIONS = """
+    WITH t AS (SELECT DISTINCT law_id AS query_id, concat_ws('/', law_id, article_number, clause_number, point_label) AS target_id, law_id, article_number, clause_number, point_label,
+        CASE WHEN point_label IS NOT NULL THEN 'point' WHEN clause_number IS NOT NULL THEN 'clause' ELSE 'article' END AS match_level FROM legal_chunks WHERE law_id IS NOT NULL AND article_number IS NOT NULL),
+    c AS (SELECT chunk_id, arg_max({'law_id': law_id, 'text': text}, indexed_at) AS r FROM legal_chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+    lh AS (SELECT * FROM (SELECT r.law_id AS query_id, chunk_id, row_number() OVER (PARTITION BY r.law_id ORDER BY length(r.text) DESC, chunk_id) AS rank FROM c WHERE r.law_id IS NOT NULL AND r.text IS NOT NULL) WHERE rank <= 20),
+    h AS (SELECT DISTINCT lh.query_id, lh.rank, l.article_number, l.clause_number, l.point_label FROM lh JOIN legal_chunks l ON l.chunk_id = lh.chunk_id AND l.law_id = lh.query_id),
+    m AS (SELECT t.query_id, t.target_id, t.match_level, min(h.rank) AS article_rank, min(h.rank) FILTER (lower(trim(h.clause_number)) = lower(trim(t.clause_number))) AS clause_rank,
+            min(h.rank) FILTER (lower(trim(h.clause_number)) = lower(trim(t.clause_number)) AND lower(trim(h.point_label)) = lower(trim(t.point_label))) AS point_rank
+          FROM t LEFT JOIN h ON h.query_id = t.query_id AND lower(trim(h.article_number)) = lower(trim(t.article_number)) GROUP BY ALL),
+    e AS (SELECT *, CASE match_level WHEN 'article' THEN article_rank WHEN 'clause' THEN clause_rank ELSE point_rank END AS exact_rank FROM m)"""
+
 SQL = {
     "bm25_corpus_stats": f"WITH {_CORPUS} SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM st",
     "bm25_document_frequency": f"WITH {_CORPUS} SELECT term, df FROM dfs",
@@ -259,4 +281,84 @@ SQL = {
         WITH a AS (SELECT DISTINCT raw_artifact_path, coalesce(normalized_text, '') AS t FROM normalized_artifacts),
         b AS (SELECT raw_artifact_path, [x FOR x IN string_split(t, chr(10)) IF trim(x) <> ''] AS ls FROM a)
         SELECT raw_artifact_path, round(coalesce(len([x FOR x IN ls IF contains(lower(x), 'đang trực tuyến') OR contains(lower(x), 'bản quyền') OR contains(lower(x), 'trang chủ') OR contains(lower(x), 'tải bản')]) / nullif(len(ls), 0)::DOUBLE, 0), 4) AS noise FROM b""",
+    "rerank_quota_topk": _HITS
+    + """, c AS (SELECT query_id, doc_id, fused, dense_rank, sparse_rank, coalesce(second, 0) AS second FROM fr WHERE rank <= 20),
+        n AS (SELECT *, min(fused) OVER w AS f0, max(fused) OVER w AS f1, min(second) OVER w AS s0, max(second) OVER w AS s1 FROM c WINDOW w AS (PARTITION BY query_id)),
+        x AS (SELECT *, round(0.7::DOUBLE * CASE WHEN s1 - s0 <= 1e-12 THEN 1.0 ELSE (second - s0) / (s1 - s0) END + 0.3::DOUBLE * CASE WHEN f1 - f0 <= 1e-12 THEN 1.0 ELSE (fused - f0) / (f1 - f0) END, 6) AS mixed FROM n),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mixed DESC, second DESC, fused DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, doc_id) AS ord FROM x),
+        a AS (SELECT *, sparse_rank IS NOT NULL AND row_number() OVER (PARTITION BY query_id, sparse_rank IS NULL ORDER BY ord) <= 6 AS one FROM o),
+        b AS (SELECT *, count(*) FILTER (one) OVER (PARTITION BY query_id) AS held, count(*) FILTER (one AND dense_rank IS NOT NULL) OVER (PARTITION BY query_id) AS held_dense,
+                row_number() OVER (PARTITION BY query_id, (one OR dense_rank IS NULL) ORDER BY ord) AS place FROM a),
+        pq AS (SELECT *, one OR (dense_rank IS NOT NULL AND place <= least(5 - held_dense, 10 - held)) AS by_quota FROM b),
+        z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY by_quota DESC, ord) AS nth FROM pq)
+        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS rank, mixed, by_quota FROM z WHERE nth <= 10""",
+    "evidence_overlaps": _OUTCOMES + " SELECT * EXCLUDE (lang, source) FROM o",
+    "outcome_counts": _OUTCOMES
+    + """ SELECT outcome, count(o.query_id) AS n FROM (VALUES ('no_required_evidence_defined'), ('required_evidence_not_retrieved'), ('required_evidence_retrieved_and_selected'), ('required_evidence_retrieved_but_not_selected')) AS d(outcome)
+        LEFT JOIN o USING (outcome) GROUP BY outcome UNION ALL SELECT 'selected_evidence_empty', count(*) FROM o WHERE n_selected = 0""",
+    "outcome_mode": _OUTCOMES + " SELECT outcome AS value, count(*) AS n FROM o WHERE outcome <> 'no_required_evidence_defined' GROUP BY outcome ORDER BY n DESC, value DESC LIMIT 1",
+    "outcome_groups": _OUTCOMES
+    + """, dim AS (SELECT 'lang' AS dimension, CASE WHEN coalesce(lang, '') = '' THEN 'unknown' ELSE lang END AS value, * FROM o UNION ALL SELECT 'source', CASE WHEN coalesce(source, '') = '' THEN 'unknown' ELSE source END, * FROM o),
+        g AS (SELECT dimension, value, count(*) AS n_cases, count(*) FILTER (outcome = 'required_evidence_retrieved_but_not_selected') AS n_missed_cases, count(*) FILTER (n_selected = 0) AS n_empty,
+            count(*) FILTER (outcome = 'required_evidence_not_retrieved') AS n_not_retrieved FROM dim GROUP BY ALL),
+        rated AS (SELECT *, round(n_missed_cases / n_cases::DOUBLE, 6) AS missed_rate FROM g)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY missed_rate DESC, n_missed_cases DESC, n_empty DESC, n_cases DESC, value) AS place FROM rated) WHERE place <= 5""",
+    "metric_deltas": _CASES
+    + f""", h3 AS (SELECT * FROM h WHERE rank <= 3),
+        got3 AS (SELECT query_id, min(rank) FILTER (gain >= 2) AS first, sum(gain / log2(rank + 1)) AS dcg, count(*) FILTER (gain >= 2) AS n_found FROM h3 GROUP BY query_id),
+        cases3 AS (SELECT query_id, n_direct, coalesce(n_found, 0) AS n_found, coalesce(first <= 1, false)::INT AS recall_at_1, coalesce(first <= 3, false)::INT AS recall_at_3,
+            coalesce(first <= 5, false)::INT AS recall_at_5, coalesce(first <= 10, false)::INT AS recall_at_10, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr,
+            round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM ideal LEFT JOIN got3 USING (query_id)),
+        l AS (SELECT doc_id AS query_id, coalesce(lower(trim(lang)), 'unknown') AS value FROM documents),
+        a AS (SELECT value, {_MEANS} FROM cases JOIN l USING (query_id) GROUP BY value), b AS (SELECT value, {_MEANS} FROM cases3 JOIN l USING (query_id) GROUP BY value)
+        SELECT 'lang' AS dimension, a.value, round(a.recall_at_10 - b.recall_at_10, 6) AS recall_at_10_delta, round(a.mrr - b.mrr, 6) AS mrr_delta, round(a.ndcg - b.ndcg, 6) AS ndcg_delta, round(a.coverage - b.coverage, 6) AS coverage_delta
+        FROM a JOIN b USING (value)""",
+    "weakest_groups": _CASES
+    + f""", l AS (SELECT c.*, coalesce(lower(trim(lang)), 'unknown') AS lang, coalesce(lower(trim(source)), 'unknown') AS source FROM cases c JOIN documents ON doc_id = query_id),
+        g AS (SELECT 'lang' AS dimension, lang AS value, {_MEANS} FROM l GROUP BY lang UNION ALL SELECT 'source', source, {_MEANS} FROM l GROUP BY source)
+        SELECT dimension, value, coverage, n_queries, place FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY coverage, n_queries, value) AS place FROM g) WHERE place <= 5""",
+    "target_ranks": _PROVISIONS + " SELECT *, CASE WHEN exact_rank IS NOT NULL THEN match_level END AS exact_depth FROM e",
+    "target_levels": _PROVISIONS
+    + """ SELECT query_id, count(*) AS n_targets, count(exact_rank) AS n_matched, min(exact_rank) FILTER (match_level = 'article') AS best_article, min(exact_rank) FILTER (match_level = 'clause') AS best_clause,
+        min(exact_rank) FILTER (match_level = 'point') AS best_point, min(exact_rank) AS best_exact,
+        arg_min(match_level, exact_rank * 10 + CASE match_level WHEN 'article' THEN 0 WHEN 'clause' THEN 1 ELSE 2 END) FILTER (exact_rank IS NOT NULL) AS exact_depth FROM e GROUP BY query_id""",
+    "target_chunk_counts": _PROVISIONS
+    + """ SELECT t.target_id, count(DISTINCT l.chunk_id) AS n_chunks FROM t JOIN legal_chunks l ON l.law_id = t.law_id AND l.article_number = t.article_number AND l.chunk_id IS NOT NULL
+        AND (t.match_level = 'article' OR (l.clause_number IS NOT DISTINCT FROM t.clause_number AND (t.match_level = 'clause' OR l.point_label IS NOT DISTINCT FROM t.point_label))) GROUP BY t.target_id""",
+    "vector_payloads": """SELECT chunk_id, law_name, citation, text_hash, 'model-a' AS embedding_model, NULL::VARCHAR AS embedding_revision, 'run-1' AS indexing_run_id, NULL::VARCHAR AS effective_date, 0 AS n_tags,
+        len(warnings)::INT AS n_warnings FROM legal_chunks""",
+    "payload_hits": """
+        WITH b AS (SELECT *, nullif(trim(chunk_id), '') AS c, nullif(trim(law_id), '') AS l, nullif(trim(citation), '') AS ci, CASE WHEN regexp_replace(text, '\\s', '', 'g') <> '' THEN trim(text) END AS t FROM legal_chunks)
+        SELECT coalesce(c, nullif(trim(source_node_id), '')) AS chunk_id, l AS law_id, nullif(trim(law_name), '') AS law_name,
+            concat_ws(',', CASE WHEN c IS NULL THEN 'chunk_id' END, CASE WHEN l IS NULL THEN 'law_id' END, CASE WHEN ci IS NULL THEN 'citation' END, CASE WHEN t IS NULL THEN 'text' END) AS issues, length(t)::INT AS n_text FROM b""",
+    "suspicious_pages": f"""
+        WITH a AS (SELECT DISTINCT raw_artifact_path, coalesce(normalized_text, '') AS t FROM normalized_artifacts),
+        b AS (SELECT *, string_split(t, chr(10)) AS rows_, {_heads("t")} AS heads, [y FOR y IN [{_COLLAPSE.format("x")} FOR x IN string_split(t, chr(10))] IF length(y) >= 12] AS ls FROM a),
+        c AS (SELECT *, lower(array_to_string(rows_[:20], chr(10))) AS first_, lower(array_to_string(rows_[greatest(len(rows_) - 39, 1):], chr(10))) AS last_,
+            round(coalesce((len(ls) - len(list_distinct(ls))) / nullif(len(ls), 0)::DOUBLE, 0), 4) AS rep FROM b)
+        SELECT raw_artifact_path, concat_ws(',', CASE WHEN length(t) < 5000 THEN 'short_normalized_text' END, CASE WHEN len(heads) = 0 THEN 'missing_article_headings' END, CASE WHEN NOT list_contains(heads, 1) THEN 'missing_article_1_heading' END,
+            CASE WHEN rep > 0.2 THEN 'high_duplicate_line_ratio' END, CASE WHEN contains(first_, 'trang chủ') OR contains(first_, 'đăng nhập') THEN 'possible_wrong_start' END,
+            CASE WHEN contains(last_, 'bản quyền') OR contains(last_, 'đang trực tuyến') THEN 'possible_wrong_end' END) AS flags,
+            (least(CASE WHEN regexp_matches(t, 'Chương I\\b') THEN length(regexp_extract(t, '^((?s:.*?))Chương I\\b', 1)) END, CASE WHEN regexp_matches(t, 'Điều 1\\.') THEN length(regexp_extract(t, '^((?s:.*?))Điều 1\\.', 1)) END))::INT AS body_at FROM c""",
+    "article_checks": """
+        WITH n AS (SELECT law_id, count(*) FILTER (a) AS n_articles, coalesce(bool_or(one), false) AS one FROM (SELECT DISTINCT law_id, node_id, lower(trim(level)) = 'article' AS a, lower(trim(level)) = 'article' AND trim(number) = '1' AS one
+            FROM hierarchy_nodes WHERE law_id IS NOT NULL) GROUP BY law_id),
+        e AS (SELECT law_id, max(markers.article_heading_count) AS expected_articles, bool_or(markers.has_heading_article_1) AS want FROM normalized_artifacts WHERE law_id IS NOT NULL GROUP BY law_id),
+        j AS (SELECT * FROM n JOIN e USING (law_id))
+        SELECT law_id, n_articles, expected_articles, 'NO_ARTICLES_FOUND' AS code FROM j WHERE n_articles = 0
+        UNION ALL SELECT law_id, n_articles, expected_articles, 'MISSING_ARTICLE_1' FROM j WHERE n_articles > 0 AND want AND NOT one
+        UNION ALL SELECT law_id, n_articles, expected_articles, 'ARTICLE_COUNT_MISMATCH' FROM j WHERE n_articles > 0 AND n_articles <> expected_articles""",
+    "paced_events": """
+        WITH e AS (SELECT user_id AS key, event_id, epoch_us(ts) AS asked FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+        i AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY asked, event_id) AS i FROM e),
+        s AS (SELECT *, max(asked - i * 600000000) OVER (PARTITION BY key ORDER BY asked, event_id ROWS UNBOUNDED PRECEDING) + i * 600000000 AS start FROM i)
+        SELECT key, event_id, asked, start, start - asked AS waited FROM s""",
+    "point_ids": """
+        WITH n AS (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('lexweave')) AS h),
+        ns AS (SELECT h[1:12] || '5' || h[14:16] || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', h[17:17]), 1) || h[18:32] AS u FROM n),
+        c AS (SELECT chunk_id, sha1(unhex(u) || encode(chunk_id)) AS h FROM (SELECT DISTINCT chunk_id FROM legal_chunks WHERE chunk_id IS NOT NULL) CROSS JOIN ns)
+        SELECT chunk_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab89ab89ab89ab', strpos('0123456789abcdef', h[17:17]), 1) || h[18:20], h[21:32]) AS point_id FROM c""",
+    "metadata_keys": """
+        WITH m AS (SELECT CASE WHEN json_valid(metadata) THEN metadata END AS j FROM conversation_messages)
+        SELECT array_to_string(list_sort(json_keys(j)), ',') AS keys, count(*) AS n FROM m GROUP BY 1""",
 }

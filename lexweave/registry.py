@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave import oracle
 from lexweave.functions import text
-from lexweave.operators import audit, chunking, cleaning, conversation, dense, evidence, fingerprint, fusion, hierarchy, html, indexing, metrics, skew, sparse, splits, validate
+from lexweave.operators import audit, chunking, cleaning, conversation, dense, diagnostics, evidence, fingerprint, fusion, hierarchy, html, indexing, metrics, skew, sparse, splits, targets, validate
 from lexweave.plans import hybrid
 from lexweave.session import materialize, table
 from lexweave.streaming import rate
@@ -125,6 +125,17 @@ def reranked_topk(spark: SparkSession, d: str) -> DataFrame:
     return fusion.rerank(fusion.top_fused(fusion.fuse(de, sp, sparse_weight=1.5), 20), sp, 10)
 
 
+def rerank_quota_topk(spark: SparkSession, d: str) -> DataFrame:
+    de, sp = _hits(spark, d)
+    return fusion.rerank_with_quotas(fusion.top_fused(fusion.fuse(de, sp, sparse_weight=1.5), 20), sp, 10, 6, 5)
+
+
+def diverse_detail_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Laws as groups, sources as their details."""
+    own = table(spark, d, "documents").select("doc_id", "law_id", F.lower(F.trim("source")).alias("source"))
+    return fusion.select_diverse(fusion.fuse(*_hits(spark, d), sparse_weight=1.5).join(own, "doc_id", "left"), 10, ["law_id"], 0.005, ["source"])
+
+
 def fallback_topk(spark: SparkSession, d: str) -> DataFrame:
     """The fallback shown, as the query's SQL has it: queries that 200 doesn't divide count as without dense hits."""
     de, sp = _hits(spark, d)
@@ -158,6 +169,76 @@ def fusion_ablation(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.ablation(*_hits(spark, d), materialize(_judgments(spark, d)))
 
 
+# --- What becomes of required documents, and weak groups --------------------------------------------------------------
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Required are direct judgments, retrieved the ten best fused, selected those of the three best that BM25 found too."""
+    fused = materialize(fusion.top_fused(fusion.fuse(*_hits(spark, d), sparse_weight=1.5), 10))
+    asked = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.lower(F.trim("lang")).alias("lang"), F.lower(F.trim("source")).alias("source"))
+    cases = diagnostics.overlaps(_judgments(spark, d).where("gain >= 2"), fused, fused.where("rank <= 3 and sparse_rank is not null"), asked)
+    return cases.join(asked, "query_id")
+
+
+def evidence_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return _outcomes(spark, d).drop("lang", "source")
+
+
+def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.outcome_counts(_outcomes(spark, d))
+
+
+def outcome_mode(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.mode(_outcomes(spark, d), "outcome", ["no_required_evidence_defined"])
+
+
+def outcome_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The five groups of each dimension that lose most."""
+    rows = diagnostics.group_summary(_outcomes(spark, d), ["lang", "source"])
+    return diagnostics.top_groups(rows, "dimension", [F.desc("missed_rate"), F.desc("n_missed_cases"), F.desc("n_empty"), F.desc("n_cases"), F.asc("value")])
+
+
+def metric_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Ten against three places, by language."""
+    de, sp = _hits(spark, d)
+    judged = materialize(_judgments(spark, d))
+    dims = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lower(F.trim("lang")).alias("lang"))
+    both = [metrics.breakdowns(metrics.per_query(hybrid.ranking(de, sp, hybrid.Config("rrf", 1, 1.5), k), judged).join(dims, "query_id"), ["lang"]) for k in (10, 3)]
+    return diagnostics.deltas(*both, ["dimension", "value"], ["recall_at_10", "mrr", "ndcg", "coverage"])
+
+
+def weakest_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = retrieval_breakdowns(spark, d)
+    return diagnostics.top_groups(rows, "dimension", [F.asc("coverage"), F.asc("n_queries"), F.asc("value")]).select("dimension", "value", "coverage", "n_queries", "place")
+
+
+# --- Expected provisions ---------------------------------------------------------------------------------------------
+
+
+def _provisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every provision of a law as its target, and the law's twenty longest chunks as hits."""
+    c = table(spark, d, "legal_chunks")
+    level = F.when(F.col("point_label").isNotNull(), "point").when(F.col("clause_number").isNotNull(), "clause").otherwise("article")
+    t = c.where("law_id is not null and article_number is not null").select("law_id", "article_number", "clause_number", "point_label", level.alias("match_level")).distinct()
+    t = t.withColumn("target_id", F.concat_ws("/", "law_id", "article_number", "clause_number", "point_label")).withColumn("query_id", F.col("law_id"))
+    h, _ = _law_hits(spark, d)
+    # A chunk may stand for several provisions in repeated rows; each is a hit at the chunk's rank.
+    return t, h.join(c.select(F.col("chunk_id").alias("doc_id"), "law_id", "article_number", "clause_number", "point_label").distinct(), "doc_id").where("law_id = query_id")
+
+
+def target_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return targets.match_ranks(*_provisions(spark, d))
+
+
+def target_levels(spark: SparkSession, d: str) -> DataFrame:
+    return targets.best_by_level(targets.match_ranks(*_provisions(spark, d)))
+
+
+def target_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    t, _ = _provisions(spark, d)
+    return targets.target_chunks(t, table(spark, d, "legal_chunks").where("chunk_id is not null")).groupBy("target_id").agg(F.count("*").alias("n_chunks"))
+
+
 # --- Evidence --------------------------------------------------------------------------------------------------------
 
 
@@ -378,6 +459,35 @@ def embedding_inputs(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", F.length(indexing.embedding_input("law_citation_text")).alias("n_input"), F.length(indexing.indexable_text()).alias("n_indexable")).distinct()
 
 
+def vector_payloads(spark: SparkSession, d: str) -> DataFrame:
+    p = indexing.vector_payload(table(spark, d, "legal_chunks"), "model-a", "run-1")
+    return p.select("chunk_id", "law_name", "citation", "text_hash", "embedding_model", "embedding_revision", "indexing_run_id", "effective_date", F.size("domain_tags").alias("n_tags"), F.size("warnings").alias("n_warnings"))
+
+
+def payload_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as hits of a vector search whose point id is the source node's."""
+    h = indexing.hits_of(table(spark, d, "legal_chunks").withColumn("point", F.col("source_node_id")), "point")
+    return h.select("chunk_id", "law_id", "law_name", F.array_join("issues", ",").alias("issues"), F.length("text").alias("n_text"))
+
+
+def suspicious_pages(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "normalized_artifacts").select("raw_artifact_path", "normalized_text").distinct()
+    flags = audit.suspicious_flags("normalized_text", ["Trang chủ", "Đăng nhập"], ["Bản quyền", "Đang trực tuyến"])
+    return a.select("raw_artifact_path", F.array_join(flags, ",").alias("flags"), audit.first_position("normalized_text", ["Chương I\\b", "Điều 1\\."]).alias("body_at"))
+
+
+def article_checks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "normalized_artifacts").select("law_id", "markers.article_heading_count", "markers.has_heading_article_1")
+    return audit.article_checks(table(spark, d, "hierarchy_nodes"), e)
+
+
+def chunk_source_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Stored chunks with what was found about their nodes in the stored trees' parent links."""
+    c = validate.latest(table(spark, d, "legal_chunks").select("chunk_id", "source_node_id", "parent_article_node_id", "indexed_at"), "chunk_id", "indexed_at")
+    i = hierarchy.hierarchy(table(spark, d, "hierarchy_nodes"), paths=False).where("fault is not null").select("node_id", F.upper("fault").alias("code"))
+    return chunking.source_warnings(c, i).select("chunk_id", F.array_join("source_warnings", ",").alias("source_warnings"), F.array_join("caveat_references", ",").alias("caveat_references"))
+
+
 def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "legal_chunks").select("chunk_id", "text").where("chunk_id is not null").distinct()
     return dense.vector_diagnostics(indexing.embed(c, F.col("text"), indexing.hashed_encoder).where("embedding is not null"), "embedding")
@@ -413,6 +523,11 @@ def rate_limited_events(spark: SparkSession, d: str) -> DataFrame:
     return rate.rate_limit(table(spark, d, "events"), 3, 3600.0, "user_id", "event_id", "ts").select("key", "event_id", "allowed", "retry_after")
 
 
+def paced_events(spark: SparkSession, d: str) -> DataFrame:
+    """When each user's requests may start if they lie ten minutes apart."""
+    return rate.paced(table(spark, d, "events"), 600.0, "user_id", "event_id", "ts")
+
+
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     s = rate.session_counts(table(spark, d, "events"), "user_id", "ts", "2 hours")
     return s.groupBy("key").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"), F.max("n").alias("largest"))
@@ -423,12 +538,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_cycles, p2_trees, p2_descendants, p2_all_descendants, p4_found, p4_per_law, p4_joined, bm25_corpus_stats, bm25_document_frequency, bm25_postings_by_doc, bm25_topk,
-        dense_topk, dense_topk_filtered, vector_diagnostics, rrf_hybrid_topk, quota_hybrid_topk, diverse_hybrid_topk, reranked_topk, fallback_topk, whole_fallback_topk,
-        retrieval_metrics_per_query, retrieval_metrics, retrieval_breakdowns, fusion_ablation, evidence_packets, evidence_prompts, citation_guard, text_keys,
+        dense_topk, dense_topk_filtered, vector_diagnostics, rrf_hybrid_topk, quota_hybrid_topk, diverse_hybrid_topk, reranked_topk, rerank_quota_topk, diverse_detail_topk, fallback_topk, whole_fallback_topk,
+        retrieval_metrics_per_query, retrieval_metrics, retrieval_breakdowns, fusion_ablation, evidence_packets, evidence_prompts, citation_guard, text_keys, evidence_overlaps, outcome_counts, outcome_mode, outcome_groups, metric_deltas, weakest_groups,
+        target_ranks, target_levels, target_chunk_counts, vector_payloads, payload_hits, suspicious_pages, article_checks, chunk_source_warnings,
         near_duplicate_titles, article_references, text_markers, secret_scan, language_counts, chunk_issues, duplicate_keys, latest_chunks, text_length_summary,
         text_length_buckets, count_reconciliation, orphan_messages, registry_difference, contamination, split_leakage, warning_histogram, chunk_traceability, reference_issues, stratification, known_titles, message_metadata_gaps, crawl_selection, page_audit, raw_vs_cleaned, corpus_inventory, line_noise, html_profile, table_fingerprint,
         point_ids, metadata_keys, parsed_nodes, parsed_chunks, parsed_tree_issues, stored_tree_issues, html_main_text, cleaned_text, plain_white_space, embedding_inputs, hashed_embeddings, conversation_list, last_messages,
-        rewritten_questions, split_components, grouped_split, rate_limited_events, event_sessions,
+        rewritten_questions, split_components, grouped_split, rate_limited_events, paced_events, event_sessions,
     )
 }
 
@@ -466,6 +582,11 @@ SQL = {
         SELECT g.id AS node_id, g.root AS root_id, g.depth AS depth, array_to_string(g.path, ' > ') AS path, coalesce(b.k, 0) AS n_descendants, NULL::VARCHAR AS fault FROM good g LEFT JOIN below b USING (id)
         UNION ALL SELECT f.node_id, NULL, NULL, NULL, b.k, f.fault FROM fault f LEFT JOIN below_lost b ON b.id = f.node_id""",
     "p2_descendants": _TREE_SQL + "SELECT path[i] AS node_id, id AS descendant_id, (depth + 1 - i)::INT AS distance FROM (SELECT id, path, depth, unnest(range(1, depth + 1)) AS i FROM good)",
+    "chunk_source_warnings": _TREE_SQL
+    + """, c AS (SELECT chunk_id, arg_max({'s': source_node_id, 'a': parent_article_node_id}, indexed_at) AS r FROM legal_chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+        own AS (SELECT DISTINCT chunk_id, unnest([r.s, r.a]) AS node_id FROM c),
+        j AS (SELECT DISTINCT chunk_id, node_id, upper(fault) AS code FROM own JOIN fault USING (node_id))
+        SELECT chunk_id, array_to_string(list_sort(list(DISTINCT code)), ',') AS source_warnings, array_to_string(list_sort(list(DISTINCT code || ':' || node_id)), ',') AS caveat_references FROM j GROUP BY chunk_id""",
     "p4_found": "SELECT law_id FROM legal_chunks WHERE law_id IS NOT NULL GROUP BY law_id HAVING count(*) > 0.05 * (SELECT count(*) FROM legal_chunks)",
     "p4_per_law": """SELECT law_id, count(*) AS n_rows, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT article_number) AS n_articles,
         coalesce(sum(length(text)), 0)::BIGINT AS text_size FROM legal_chunks GROUP BY law_id""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,6 +29,19 @@ def decide(times: list[float], limit: int, window: float, start: float | None =
     return out, start, used
 
 
+def paced(events: DataFrame, delay: float, key: str = "key", event_id: str = "event_id", at: str = "at") -> DataFrame:
+    """(key, event_id, asked, start, waited): when each request of a host may start if starts lie ``delay`` seconds apart.
+
+    start(i) is the larger of its own time and start(i - 1) + delay, which is the largest of time(j) + (i - j) * delay over
+    j up to i: a running maximum, not a loop. Times are microseconds; null keys or times give no row."""
+    gap = F.lit(int(round(delay * 1_000_000)))
+    w = Window.partitionBy("key").orderBy("asked", "event_id")
+    e = events.select(F.col(key).alias("key"), F.col(event_id).alias("event_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("asked")).where("key is not null and asked is not null")
+    e = e.withColumn("i", F.row_number().over(w).cast("bigint"))
+    start = F.max(F.col("asked") - F.col("i") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i") * gap
+    return e.withColumn("start", start).select("key", "event_id", "asked", "start", (F.col("start") - F.col("asked")).alias("waited"))
+
+
 def rate_limit(events: DataFrame, limit: int, window: float, key: str, event_id: str, at: str) -> DataFrame:
     """Verdicts for a finished table of events: columns of :data:`OUT`. A key's events stream through the task in order of
     time and id, sorted by the shuffle; only the state is held, so a hot key needs no memory."""
