@@ -92,3 +92,24 @@ def test_best_configuration(spark):
     j = spark.createDataFrame([(1, 11, 3)], "query_id int, doc_id int, gain int")
     d, s = hits(spark, [(1, 10, 1, 1.0)]), hits(spark, [(1, 11, 1, 1.0)])
     assert hybrid.best(hybrid.ablation(d, s, j)).first()["config"] in {"rrf_0_1", "quota_4_3_3", "quota_5_4_1", "quota_6_2_2", "rrf_1_1.5"}
+
+
+def test_many_query_sets_in_one_scan(spark, monkeypatch):
+    import random
+
+    from lexweave.operators import dense, sparse
+
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(40)}" for _ in range(r.choice([1, 5, 30])))) for i in range(300)], "doc_id int, text string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(f"w{r.randrange(50)}" for _ in range(4))) for i in range(57)], "id int, query string")
+    vecs = spark.createDataFrame([(i, [float(r.choice([0, 1, 2])) + 0.1 for _ in range(3)]) for i in range(200)] + [(900, None), (901, [float("nan")] * 3), (902, [1.0])], "vec_id int, embedding array<double>").repartition(3)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(sparse.bm25_topk(docs, asked)), rows(dense.dense_topk(vecs, vecs.where("vec_id < 60"), 7))
+    for kept, size in ((0, 5_000_000), (8_000_000, 60)):
+        monkeypatch.setattr(sparse, "KEPT_WEIGHTS", kept)
+        monkeypatch.setattr(sparse, "SCAN_WORDS", size)
+        monkeypatch.setattr(sparse, "QUERIES_PER_PASS", 10)
+        monkeypatch.setattr(dense, "QUERIES_PER_PASS", 10)
+        assert (rows(sparse.bm25_topk(docs, asked)), rows(dense.dense_topk(vecs, vecs.where("vec_id < 60"), 7))) == whole
+    plan = dense.dense_topk(vecs, vecs.where("vec_id < 60"), 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
