@@ -18,7 +18,8 @@ TOPICS = (
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """(id, title, updated_at, n_messages, position) by updated_at, created_at and id, newest first, repeated rows once."""
+    """(id, title, updated_at, created_at, n_messages), repeated rows once. A list is shown by updated_at, created_at and id,
+    newest first; the rows have no place of their own, so that a page of them is an ordinary top-k."""
     c = conversations.where("id is not null").groupBy("id").agg(F.max(F.struct("updated_at", "created_at", "title")).alias("r")).select("id", "r.*")
     n = messages.where("id is not null").select("conversation_id", "id").distinct().groupBy("conversation_id").agg(F.count("*").alias("n")).withColumnRenamed("conversation_id", "id")
     return c.join(n, "id", "left").select("id", "title", "updated_at", "created_at", F.coalesce("n", F.lit(0)).alias("n_messages"))

@@ -86,11 +86,11 @@ def upsert_parquet(spark: SparkSession, path: str, rows: DataFrame, key: str, bu
     partition overwrite. Of repeated keys in ``rows`` one counts. Writing the same rows again changes nothing."""
     b: Column = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     new = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("_bucket", b)
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # the table isn't there yet
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         new.write.partitionBy("_bucket").parquet(path)
         return
+    old = spark.read.parquet(path)  # what is there and can't be read is an error, not a new table
     from lexweave.session import materialize
 
     touched = [r[0] for r in new.select("_bucket").distinct().collect()]

@@ -13,8 +13,8 @@ SCHEMA = "law_id string, layout string, html string, content_hash string, n_byte
 
 
 class _Folders(InputPartition):
-    def __init__(self, folders: list[tuple[str, str, str]]):
-        self.folders = folders
+    def __init__(self, names: list[str]):
+        self.names = names
 
 
 class _Reader(DataSourceReader):
@@ -23,20 +23,19 @@ class _Reader(DataSourceReader):
         self.size = int(options.get("foldersPerPartition", 256))
 
     def partitions(self) -> list[InputPartition]:
-        """Names of folders only; contents are read in the tasks."""
-        found = []
-        for law in sorted(os.listdir(self.root)):
-            for layout, folder in (("latest", os.path.join(self.root, law, "latest")), ("flat", os.path.join(self.root, law))):
-                if os.path.isfile(os.path.join(folder, "main.html")):
-                    found.append((law, layout, folder))
-                    break
-        return [_Folders(found[i : i + self.size]) for i in range(0, len(found), self.size)] or [_Folders([])]
+        """One listing of names; which folders hold a page, and what it is, is found out in the tasks."""
+        names = sorted(os.listdir(self.root))
+        return [_Folders(names[i : i + self.size]) for i in range(0, len(names), self.size)] or [_Folders([])]
 
     def read(self, partition: _Folders) -> Iterator[tuple]:
-        for law, layout, folder in partition.folders:
-            with open(os.path.join(folder, "main.html"), "rb") as f:
-                raw = f.read()
-            yield law, layout, raw.decode("utf-8", "replace"), hashlib.sha256(raw).hexdigest(), len(raw)
+        for law in partition.names:
+            for layout, parts in (("latest", (law, "latest")), ("flat", (law,))):
+                page = os.path.join(self.root, *parts, "main.html")
+                if os.path.isfile(page):
+                    with open(page, "rb") as f:
+                        raw = f.read()
+                    yield law, layout, raw.decode("utf-8", "replace"), hashlib.sha256(raw).hexdigest(), len(raw)
+                    break
 
 
 class PageFolders(DataSource):
