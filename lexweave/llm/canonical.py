@@ -32,7 +32,13 @@ LOOKALIKES = {
     **dict(zip("ονρυικϲϳ", "ovpuikcj")),
     **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ")),
     **dict(zip("ÐƉðոսօցհ", "ĐĐđnuoqh")),
+    **dict(zip("ӀӏүҮѡ", "IlyYw")),
+    **dict(zip("յՏՕԼ", "jSOL")),
+    **dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᏃ", "ABCDEGHJKLMPRSTVWZ")),
+    **dict(zip("ɡɑıᴄᴏᴠᴡᴢꜱ", "gaicovwzs")),
 }
+# Those that are letters of the same script; only the n-gram score and the Vietnamese letter decide on them.
+SAME_SCRIPT = set("ÐƉðɡɑı")
 # Compatibility characters with a look of their own, kept as they are.
 KEPT = set("µ․‥…ſ℀℁℃℅℆℉№℡")
 
@@ -117,7 +123,7 @@ def _viterbi(line: str, logp: np.ndarray) -> str:
         ptr: list[int] = []
         for k, o in enumerate(options):
             s, own = script(o), REPLACE * k
-            if c in "ÐƉð":  # another letter of the same script: only the n-gram score and the Vietnamese letter decide
+            if c in SAME_SCRIPT:
                 own = 0.0 if k else 6.0
             j = _INDEX.get(o.lower(), 0)
             if not states:

@@ -248,11 +248,13 @@ def _kinds(m: Model, langs, x, bound: float, lean: float) -> list[str]:
 
 
 def fit_labels(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit on labelled documents: all of them up to ``max_labels``, else that many by seeded hash. Labels other than
-    prose, list, table and junk are left out; of repeated labels one counts."""
+    """Fit on labelled documents: all of them up to ``max_labels``, else that many by seeded hash; the labels
+    that are broadcast are as many at most. Labels other than prose, list, table and junk are left out; of repeated labels one counts."""
     lab = labels.where(F.col("kind").isin("prose", "list", "table", "junk")).groupBy("doc_id").agg(F.min("kind").alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(lab), "doc_id")
-    rows = document_statistics(d.select("doc_id", "text")).join(F.broadcast(lab), "doc_id").select("lang", "stats", "kind").collect()
+    # One row for each labelled document, however often it stands: at most max_labels come to the driver.
+    once = d.groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = document_statistics(once.select("doc_id", "text")).join(F.broadcast(lab), "doc_id").select("lang", "stats", "kind").collect()
     if not rows:
         raise ValueError("no labelled documents")
     m = fit([r["lang"] for r in rows], np.array([r["stats"] for r in rows]), [r["kind"] for r in rows])

@@ -32,7 +32,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.rebuild(table(spark, d, "conversation_messages"), table(spark, d, "conversations"))
+    turns = conversations.rebuild(table(spark, d, "conversation_messages"), table(spark, d, "conversations"))
+    return turns.select("conversation_id", "turn", "role", "content", F.unix_micros("created_at").alias("created_us"))
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -157,6 +158,16 @@ SQL = {
         ids AS (SELECT id FROM conversations WHERE id IS NOT NULL UNION SELECT conversation_id FROM conversation_messages WHERE conversation_id IS NOT NULL)
         SELECT id AS conversation_id FROM ids
         WHERE id NOT IN (SELECT id FROM conversations WHERE id IS NOT NULL) OR id NOT IN (SELECT conversation_id FROM good)""",
+    "p3_conversations": r"""
+        WITH one AS (SELECT DISTINCT ON (id) * FROM conversation_messages ORDER BY id, created_at),
+        m AS (SELECT conversation_id, id, created_at, content, coalesce(lower(regexp_replace(role, '^\s+|\s+$', '', 'g')), '') AS r FROM one
+              WHERE conversation_id IS NOT NULL AND content IS NOT NULL AND regexp_replace(content, '[ \t\r\n]', '', 'g') <> ''),
+        k AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) - 1 AS p,
+                     count(*) OVER (PARTITION BY conversation_id) AS n FROM m WHERE r <> 'system'),
+        good AS (SELECT conversation_id FROM k GROUP BY conversation_id
+                 HAVING bool_and(r = CASE WHEN p % 2 = 0 THEN 'user' ELSE 'assistant' END) AND max(n) % 2 = 0)
+        SELECT conversation_id, p AS turn, r AS role, content, epoch_us(created_at) AS created_us FROM k
+        WHERE conversation_id IN (SELECT conversation_id FROM good) AND conversation_id IN (SELECT id FROM conversations WHERE id IS NOT NULL)""",
     "p9_found": r"""
         WITH t AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS s, coalesce(length(text), 0) AS n FROM documents)
         SELECT m.source FROM mix_targets m

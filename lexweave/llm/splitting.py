@@ -7,6 +7,7 @@ midpoint and both halves are treated alike; afterwards each piece but the first
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -56,7 +57,7 @@ def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
     marks = _marks(text)
     from bisect import bisect_left, bisect_right
 
-    at = [p for p, _ in marks]
+    at, kinds = [p for p, _ in marks], dict(marks)
     cuts: dict[int, str] = {len(text): "end"}
     todo = [(0, len(text))]
     while todo:
@@ -75,7 +76,9 @@ def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
             i = bisect_left(at, mid)
             around = [p for p in at[max(0, i - 1) : i + 1] if lo < p < hi]
             cut = min(around, key=lambda p: (abs(p - mid), p)) if around else mid
-            name = BOUNDARIES[dict(marks)[cut]][0] if around else "none"
+            while not around and cut > lo + 1 and unicodedata.combining(text[cut]):
+                cut -= 1  # a letter keeps its marks
+            name = BOUNDARIES[kinds[cut]][0] if around else "none"
         cuts[cut] = name
         todo += [(lo, cut), (cut, hi)]
     out, start = [], 0

@@ -54,3 +54,9 @@ def test_hashed_words_agree_with_plain_words(scores):
     for w, x in zip([w for p in plain for w in p], h.tolist()):
         assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen)
+
+
+def test_letters_of_further_scripts(scores):
+    for odd, plain in (("Ꭺnh", "Anh"), ("nɡười", "người"), ("ngườı", "người"), ("ᏞUẬT", "LUẬT"), ("đօ", "đo")):
+        assert canonical.canonical(f"theo {odd} này", scores) == f"theo {plain} này", odd
+    assert canonical.canonical("ᎠᏂᏴᏫᏯ", scores) == "ᎠᏂᏴᏫᏯ"

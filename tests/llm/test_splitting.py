@@ -44,3 +44,10 @@ def test_frame(spark):
     assert {(r["item_id"], r["field_name"]) for r in got.collect()} == {("b", "text"), ("e", "parent_text")}
     assert [r["piece"] for r in got.where("item_id = 'e'").orderBy("piece_no").collect()] == ["éé", "éééé"] or all(len(r["piece"]) <= 4 for r in got.where("item_id = 'e'").collect())
     assert splitting.split_oversized(df.limit(0), limits).count() == 0 and splitting.split_oversized(df, limits.limit(0)).count() == 0
+
+
+def test_a_letter_keeps_its_marks():
+    text = "e\u0302\u0301" * 60
+    parts = splitting.split_text(text, 40, 5)
+    assert "".join(text[a:b] for a, b, _, _ in parts) == text and all(b - s <= 40 for _, b, s, _ in parts)
+    assert all(text[a] == "e" for a, _, _, _ in parts)
