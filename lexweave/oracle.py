@@ -361,4 +361,35 @@ SQL = {
     "metadata_keys": """
         WITH m AS (SELECT CASE WHEN json_valid(metadata) THEN metadata END AS j FROM conversation_messages)
         SELECT array_to_string(list_sort(json_keys(j)), ',') AS keys, count(*) AS n FROM m GROUP BY 1""",
+    "vector_issues": """
+        SELECT 'VECTOR_MISSING' AS code, count(*) FILTER (embedding IS NULL OR len(embedding) = 0) AS n FROM embeddings
+        UNION ALL SELECT 'VECTOR_DIMENSION', count(*) FILTER (len(embedding) > 0 AND len(embedding) <> 64) FROM embeddings
+        UNION ALL SELECT 'VECTOR_NOT_FINITE', count(*) FILTER (len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) > 0) FROM embeddings
+        UNION ALL SELECT 'VECTOR_ZERO', count(*) FILTER (len(embedding) > 0 AND len([x FOR x IN embedding IF x <> 0]) = 0) FROM embeddings""",
+    "payload_filter_counts": """
+        WITH c AS (SELECT *, coalesce(NOT metadata.is_empty_or_repealed AND NOT metadata.is_source_unit_repealed, false) AS live FROM legal_chunks),
+        f AS (SELECT 'clauses' AS filter, count(*) FILTER (level = 'clause') AS n FROM c UNION ALL SELECT 'live', count(*) FILTER (live) FROM c
+              UNION ALL SELECT 'live_points', count(*) FILTER (live AND level = 'point') FROM c UNION ALL SELECT 'parts', count(*) FILTER (level = 'part') FROM c)
+        SELECT filter, n, n = 0 AS empty FROM f""",
+    "hit_completeness": """
+        SELECT law_id, count(*) AS n_hits, round(sum((trim(law_id) <> '')::INT + coalesce((trim(citation) <> '')::INT, 0) + coalesce((trim(source_url) <> '')::INT, 0) + coalesce((trim(law_name) <> '')::INT, 0)) / (count(*) * 4)::DOUBLE, 6) AS completeness
+        FROM legal_chunks WHERE law_id IS NOT NULL GROUP BY law_id""",
+    "article_group_coverage": """
+        WITH c AS (SELECT chunk_id, arg_max({'law_id': law_id, 'text': text}, indexed_at) AS r FROM legal_chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+        h AS (SELECT * FROM (SELECT r.law_id AS query_id, chunk_id, row_number() OVER (PARTITION BY r.law_id ORDER BY length(r.text) DESC, chunk_id) AS rank FROM c WHERE r.law_id IS NOT NULL AND r.text IS NOT NULL) WHERE rank <= 20),
+        g AS (SELECT l.law_id AS query_id, article_number, bool_or(h.chunk_id IS NOT NULL) AS hit FROM legal_chunks l LEFT JOIN h ON h.query_id = l.law_id AND h.chunk_id = l.chunk_id
+              WHERE l.law_id IS NOT NULL AND l.chunk_id IS NOT NULL AND article_number IS NOT NULL GROUP BY ALL)
+        SELECT query_id, count(*) AS n_groups, count(*) FILTER (hit) AS n_covered, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS coverage FROM g GROUP BY query_id""",
+    "duplicate_titles": f"""
+        WITH t AS (SELECT doc_id AS k, {_KEY.format("title")} AS same FROM documents WHERE title IS NOT NULL AND doc_id IS NOT NULL),
+        o AS (SELECT same, translate(same, '{MARKED}', '{BARE}') AS bare, count(*) AS n, min(k) AS k FROM t WHERE same <> '' GROUP BY ALL)
+        SELECT 'SAME_TEXT' AS code, same AS text_key, n AS n_rows, 1::BIGINT AS n_forms, k AS first_key FROM o WHERE n > 1
+        UNION ALL SELECT 'SAME_WITHOUT_MARKS', bare, sum(n)::BIGINT, count(*), min(k) FROM o GROUP BY bare HAVING count(*) > 1""",
+    "chunk_report": """
+        SELECT coalesce(level, '*') AS level, coalesce(chunk_kind, '*') AS chunk_kind, count(*) AS n_rows, coalesce(sum(c), 0)::BIGINT AS n_chars, coalesce(sum(w), 0)::BIGINT AS n_warnings
+        FROM (SELECT coalesce(level, 'unknown') AS level, coalesce(chunk_kind, 'unknown') AS chunk_kind, length(text) AS c, len(warnings) AS w FROM legal_chunks) GROUP BY ROLLUP (level, chunk_kind)""",
+    "common_laws": "SELECT DISTINCT law_id FROM legal_chunks WHERE law_id IN (SELECT law_id FROM normalized_artifacts)",
+    "torn_pages": """
+        SELECT DISTINCT ON (raw_artifact_path, t) raw_artifact_path, (len(regexp_extract_all(t, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:Đ\\s+iều|Ch\\s+ương|Kho\\s+ản|Đi\\s+ểm|M\\s+ục|Ph\\s+ần)(?:$|[^\\p{L}\\p{N}_])')))::INT AS n_torn
+        FROM (SELECT DISTINCT raw_artifact_path, coalesce(normalized_text, '') AS t FROM normalized_artifacts)""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave import oracle
 from lexweave.functions import text
-from lexweave.operators import audit, chunking, cleaning, conversation, dense, diagnostics, evidence, fingerprint, fusion, hierarchy, html, indexing, metrics, skew, sparse, splits, targets, validate
+from lexweave.operators import audit, chunking, cleaning, conversation, dense, diagnostics, evidence, fingerprint, fusion, hierarchy, html, indexing, metrics, readiness, skew, sparse, splits, targets, validate
 from lexweave.plans import hybrid
 from lexweave.session import materialize, table
 from lexweave.streaming import rate
@@ -395,6 +395,58 @@ def line_noise(spark: SparkSession, d: str) -> DataFrame:
     return a.select("raw_artifact_path", audit.line_noise("normalized_text", ["Đang trực tuyến", "Bản quyền", "Trang chủ", "Tải bản"]).alias("noise"))
 
 
+# --- Readiness -------------------------------------------------------------------------------------------------------
+
+
+def vector_issues(spark: SparkSession, d: str) -> DataFrame:
+    """How many of all vectors fail each check, zeros included."""
+    n = readiness.filter_counts(table(spark, d, "embeddings"), readiness.vector_checks("embedding", 64))
+    return n.select(F.col("filter").alias("code"), "n")
+
+
+def payload_filter_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = {"clauses": F.col("level") == "clause", "live": indexing.payload_filter(True), "live_points": indexing.payload_filter(True, level="point"), "parts": indexing.payload_filter(level="part")}
+    return readiness.filter_counts(table(spark, d, "legal_chunks"), c)
+
+
+def hit_completeness(spark: SparkSession, d: str) -> DataFrame:
+    return readiness.completeness(table(spark, d, "legal_chunks").where("law_id is not null"), "law_id", ["law_id", "citation", "source_url", "law_name"])
+
+
+def article_group_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Of every law the articles as groups, and its twenty longest chunks as what was selected."""
+    h, _ = _law_hits(spark, d)
+    g = table(spark, d, "legal_chunks").where("law_id is not null and chunk_id is not null").select(F.col("law_id").alias("query_id"), F.col("article_number").alias("group_id"), F.col("chunk_id").alias("doc_id"))
+    return readiness.group_coverage(g, h)
+
+
+def duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
+    return readiness.duplicate_texts(table(spark, d, "documents"), "doc_id", "title")
+
+
+def chunk_report(spark: SparkSession, d: str) -> DataFrame:
+    return readiness.count_report(table(spark, d, "legal_chunks"), ["level", "chunk_kind"], {"n_chars": F.length("text"), "n_warnings": F.size("warnings")})
+
+
+def common_laws(spark: SparkSession, d: str) -> DataFrame:
+    return readiness.common_keys(table(spark, d, "legal_chunks"), table(spark, d, "normalized_artifacts"), "law_id")
+
+
+def index_readiness(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "legal_chunks")
+    return readiness.readiness(chunk_issues(spark, d), ["CHUNK_ID_MISSING", "TEXT_MISSING"], c.count())
+
+
+def torn_pages(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "normalized_artifacts").select("raw_artifact_path", "normalized_text").distinct()
+    return a.select("raw_artifact_path", readiness.torn_words("normalized_text").cast("int").alias("n_torn"))
+
+
+def answer_claims(spark: SparkSession, d: str) -> DataFrame:
+    m = conversation.distinct_messages(table(spark, d, "conversation_messages")).where("role = 'assistant'")
+    return m.select("id", F.size(readiness.claims("content")).alias("n_claims"), F.array_join(readiness.phrases_in("content", ["chắc chắn", "cam kết", "theo Điều"]), ",").alias("phrases"))
+
+
 # --- Fingerprints ----------------------------------------------------------------------------------------------------
 
 
@@ -541,6 +593,7 @@ QUERIES = {
         dense_topk, dense_topk_filtered, vector_diagnostics, rrf_hybrid_topk, quota_hybrid_topk, diverse_hybrid_topk, reranked_topk, rerank_quota_topk, diverse_detail_topk, fallback_topk, whole_fallback_topk,
         retrieval_metrics_per_query, retrieval_metrics, retrieval_breakdowns, fusion_ablation, evidence_packets, evidence_prompts, citation_guard, text_keys, evidence_overlaps, outcome_counts, outcome_mode, outcome_groups, metric_deltas, weakest_groups,
         target_ranks, target_levels, target_chunk_counts, vector_payloads, payload_hits, suspicious_pages, article_checks, chunk_source_warnings,
+        vector_issues, payload_filter_counts, hit_completeness, article_group_coverage, duplicate_titles, chunk_report, common_laws, index_readiness, torn_pages, answer_claims,
         near_duplicate_titles, article_references, text_markers, secret_scan, language_counts, chunk_issues, duplicate_keys, latest_chunks, text_length_summary,
         text_length_buckets, count_reconciliation, orphan_messages, registry_difference, contamination, split_leakage, warning_histogram, chunk_traceability, reference_issues, stratification, known_titles, message_metadata_gaps, crawl_selection, page_audit, raw_vs_cleaned, corpus_inventory, line_noise, html_profile, table_fingerprint,
         point_ids, metadata_keys, parsed_nodes, parsed_chunks, parsed_tree_issues, stored_tree_issues, html_main_text, cleaned_text, plain_white_space, embedding_inputs, hashed_embeddings, conversation_list, last_messages,
