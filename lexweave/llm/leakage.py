@@ -14,6 +14,7 @@ The corpus is read and hashed once for all indexes that fit into SCAN_BYTES, not
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ SCAN_BYTES = 128_000_000
 #: Words in a term; what a score may stay below the threshold for rounding.
 TERM_WORDS = 5
 NEARLY = 1 - 1e-4
+#: Terms whose postings a worker keeps as lists.
+CACHED_TERMS = 100_000
 
 _U = np.uint64
 
@@ -100,6 +103,7 @@ class ItemIndex:
         fields = field[text_of[at]] if len(at) else np.zeros(0, np.int64)
         self.runs = np.unique(self._run_key(term_hashes(h, self.span)[at] if len(at) else np.zeros(0, _U), owner[at], fields))
         self.fields = int(field.max()) + 1 if len(field) else 0
+        self._lists: dict[int, tuple] = {}
 
     @staticmethod
     def _run_key(run_hash: np.ndarray, item: np.ndarray, field: np.ndarray) -> np.ndarray:
@@ -115,41 +119,58 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at + 1, 0)
 
+    def _postings(self, t: int) -> tuple[list[int], list[float], list[float], float]:
+        """A term's items, impacts, largest impact in each posting's block, and largest of all."""
+        got = self._lists.get(t)
+        if got is None:
+            if len(self._lists) >= CACHED_TERMS:
+                self._lists.clear()
+            a, z = int(self.start[t]), int(self.start[t + 1])
+            got = self._lists[t] = self.item[a:z].tolist(), self.impact[a:z].tolist(), self.block_max[self.block_of[a:z]].tolist(), float(self.term_max[t])
+        return got
+
     def wand(self, terms: list[int]) -> Iterator[int]:
         """The items whose score for the distinct ``terms`` reaches 1, by block-max WAND: cursors over the postings in order
         of items. The pivot is the first item that the terms up to its cursor could bring to the threshold; if the maxima
         of the blocks there can't, the cursors before it jump past the nearest end of a block."""
-        cursors = [[int(self.start[t]), int(self.start[t + 1]), float(self.term_max[t])] for t in terms if t and self.start[t] < self.start[t + 1]]
+        cursors = [[p[0][0], 0, *p] for t in terms if t and (p := self._postings(t))[0]]  # item, place and the postings
         while cursors:
-            cursors.sort(key=lambda c: self.item[c[0]])
+            cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += c[2]
+                bound += c[5]
                 if bound >= NEARLY:
                     pivot = k
                     break
             if pivot < 0:
                 return
-            item = int(self.item[cursors[pivot][0]])
-            while pivot + 1 < len(cursors) and self.item[cursors[pivot + 1][0]] == item:
+            item = cursors[pivot][0]
+            block = item // BLOCK_ITEMS
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
+            bound = score = 0.0
             near = cursors[: pivot + 1]
-            # A cursor before the pivot may bring what its block that holds or follows the pivot's item has at most.
             for c in near:
-                c[0] += int(np.searchsorted(self.item[c[0] : c[1]], item))
-            live = [c for c in near if c[0] < c[1]]
-            bound = sum(float(self.block_max[self.block_of[c[0]]]) for c in live if self.item[c[0]] // BLOCK_ITEMS == item // BLOCK_ITEMS)
+                if c[0] < item:
+                    c[1] = bisect_left(c[2], item, c[1])
+                    c[0] = c[2][c[1]] if c[1] < len(c[2]) else -1
+                if c[0] // BLOCK_ITEMS == block:
+                    bound += c[4][c[1]]
+                    if c[0] == item:
+                        score += c[3][c[1]]
             if bound >= NEARLY:
-                if sum(float(self.impact[c[0]]) for c in live if self.item[c[0]] == item) >= NEARLY:
+                if score >= NEARLY:
                     yield item
                 past = item + 1
             else:
-                past = (item // BLOCK_ITEMS + 1) * BLOCK_ITEMS
+                past = (block + 1) * BLOCK_ITEMS
                 if pivot + 1 < len(cursors):
-                    past = max(item + 1, min(past, int(self.item[cursors[pivot + 1][0]])))
-            for c in live:
-                c[0] += int(np.searchsorted(self.item[c[0] : c[1]], past))
-            cursors = [c for c in cursors if c[0] < c[1]]
+                    past = max(item + 1, min(past, cursors[pivot + 1][0]))
+            for c in near:
+                if 0 <= c[0] < past:
+                    c[1] = bisect_left(c[2], past, c[1])
+                    c[0] = c[2][c[1]] if c[1] < len(c[2]) else -1
+            cursors = [c for c in cursors if c[0] >= 0]
 
     def search(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document number, item number, field, passages) once each. ``words``: word hashes of documents one after
@@ -164,18 +185,22 @@ class ItemIndex:
         doc = np.searchsorted(ends, start, side="right")
         inside = start + self.run <= ends[doc]
         start, doc = start[inside], doc[inside]
-        found: dict[tuple[int, int, int], int] = {}
-        for at, of in zip(start.tolist(), doc.tolist()):
-            own = None
-            for item in self.wand(np.unique(terms[at : at + self.span]).tolist()):
-                own = term_hashes(hashed[at : at + self.span], self.span) if own is None else own
-                for f in range(self.fields):
-                    key = self._run_key(own, np.array([item]), np.array([f]))
-                    k = int(np.searchsorted(self.runs, key[0]))
-                    if k < len(self.runs) and self.runs[k] == key[0]:
-                        found[of, item, f] = found.get((of, item, f), 0) + 1
-        for (of, item, f), n in found.items():
-            yield of, item, f, n
+        if not len(start):
+            return
+        whole = terms.tolist()
+        hits = [(j, item) for j, at in enumerate(start.tolist()) for item in self.wand(sorted(set(whole[at : at + self.span])))]
+        if not hits:
+            return
+        # What was retrieved is verified word by word in each field, all at once.
+        j, item = np.array(hits, np.int64).T
+        own = term_hashes(hashed, self.span)[start[j]]
+        for f in range(self.fields):
+            key = self._run_key(own, item, np.full(len(item), f))
+            at = np.minimum(np.searchsorted(self.runs, key), len(self.runs) - 1)
+            same = self.runs[at] == key
+            pairs, counts = np.unique(np.stack([doc[j[same]], item[same]], 1), axis=0, return_counts=True)
+            for (of, k), n in zip(pairs.tolist(), counts.tolist()):
+                yield of, k, f, n
 
 
 def _scan(batches: Iterable[pa.RecordBatch], indexes: list[ItemIndex], fields: tuple[str, ...], logp: np.ndarray) -> Iterator[pa.RecordBatch]:
