@@ -134,8 +134,8 @@ SQL = {
         x AS (SELECT *, round(0.7::DOUBLE * CASE WHEN s1 - s0 <= 1e-12 THEN 1.0 ELSE (second - s0) / (s1 - s0) END + 0.3::DOUBLE * CASE WHEN f1 - f0 <= 1e-12 THEN 1.0 ELSE (fused - f0) / (f1 - f0) END, 6) AS mixed FROM n),
         r AS (SELECT query_id, doc_id, mixed, row_number() OVER (PARTITION BY query_id ORDER BY mixed DESC, second DESC, fused DESC, doc_id) AS rank FROM x)
         SELECT query_id, doc_id, rank, mixed FROM r WHERE rank <= 10""",
-    "fallback_topk": _HITS
-    + """, f AS (SELECT query_id, doc_id, rank FROM dense WHERE rank <= 10 AND query_id % 200 = 0)
+    "whole_fallback_topk": _HITS
+    + """, f AS (SELECT query_id, doc_id, rank FROM dense WHERE rank <= 10)
         SELECT query_id, doc_id, rank, false AS fallback FROM f UNION ALL SELECT query_id, doc_id, rank, true FROM sp WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM f)""",
     "retrieval_metrics_per_query": _CASES + " SELECT * FROM cases",
     "retrieval_metrics": _CASES + f" SELECT {_MEANS} FROM cases",
@@ -176,6 +176,10 @@ SQL = {
     "secret_scan": "SELECT doc_id, 'api_key,password' AS labels, true AS redacted FROM documents WHERE doc_id % 500 = 0 AND text IS NOT NULL",
     "language_counts": f"SELECT coalesce(regexp_matches({_FOLD.format('text')}, '[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]'), false) AS vietnamese, count(*) AS n FROM documents GROUP BY 1",
     "chunk_issues": " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS code, count(*) AS n FROM legal_chunks WHERE {c}) WHERE n > 0" for k, c in _ISSUES.items()),
+    "index_readiness": "WITH i AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS code, count(*) AS n FROM legal_chunks WHERE {c}" for k, c in _ISSUES.items())
+    + """), s AS (SELECT coalesce(sum(n) FILTER (code IN ('CHUNK_ID_MISSING', 'TEXT_MISSING')), 0)::BIGINT AS n_blocking, coalesce(sum(n) FILTER (code NOT IN ('CHUNK_ID_MISSING', 'TEXT_MISSING')), 0)::BIGINT AS n_warnings FROM i)
+        SELECT CASE WHEN n_blocking > 0 OR (SELECT count(*) FROM legal_chunks) = 0 THEN 'blocked' WHEN n_warnings > 0 THEN 'ready_with_warnings' ELSE 'ready' END AS status, n_blocking, n_warnings FROM s""",
     "duplicate_keys": "SELECT chunk_id AS key, count(*) AS n_rows, count(*) - 1 AS n_later FROM legal_chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id HAVING count(*) > 1",
     "latest_chunks": "SELECT chunk_id, max(epoch_us(indexed_at)) AS indexed_us FROM legal_chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id",
     "text_length_summary": """

@@ -136,12 +136,6 @@ def diverse_detail_topk(spark: SparkSession, d: str) -> DataFrame:
     return fusion.select_diverse(fusion.fuse(*_hits(spark, d), sparse_weight=1.5).join(own, "doc_id", "left"), 10, ["law_id"], 0.005, ["source"])
 
 
-def fallback_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The fallback shown, as the query's SQL has it: queries that 200 doesn't divide count as without dense hits."""
-    de, sp = _hits(spark, d)
-    return fusion.with_fallback(de.where("rank <= 10 and query_id % 200 = 0"), sp.where("rank <= 10"))
-
-
 def whole_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
     """Dense hits where there are any, sparse hits for the other queries."""
     de, sp = _hits(spark, d)
@@ -590,7 +584,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_cycles, p2_trees, p2_descendants, p2_all_descendants, p4_found, p4_per_law, p4_joined, bm25_corpus_stats, bm25_document_frequency, bm25_postings_by_doc, bm25_topk,
-        dense_topk, dense_topk_filtered, vector_diagnostics, rrf_hybrid_topk, quota_hybrid_topk, diverse_hybrid_topk, reranked_topk, rerank_quota_topk, diverse_detail_topk, fallback_topk, whole_fallback_topk,
+        dense_topk, dense_topk_filtered, vector_diagnostics, rrf_hybrid_topk, quota_hybrid_topk, diverse_hybrid_topk, reranked_topk, rerank_quota_topk, diverse_detail_topk, whole_fallback_topk,
         retrieval_metrics_per_query, retrieval_metrics, retrieval_breakdowns, fusion_ablation, evidence_packets, evidence_prompts, citation_guard, text_keys, evidence_overlaps, outcome_counts, outcome_mode, outcome_groups, metric_deltas, weakest_groups,
         target_ranks, target_levels, target_chunk_counts, vector_payloads, payload_hits, suspicious_pages, article_checks, chunk_source_warnings,
         vector_issues, payload_filter_counts, hit_completeness, article_group_coverage, duplicate_titles, chunk_report, common_laws, index_readiness, torn_pages, answer_claims,
@@ -634,6 +628,10 @@ SQL = {
         below_lost AS (SELECT anc AS id, count(*) - 1 AS k FROM under GROUP BY anc)
         SELECT g.id AS node_id, g.root AS root_id, g.depth AS depth, array_to_string(g.path, ' > ') AS path, coalesce(b.k, 0) AS n_descendants, NULL::VARCHAR AS fault FROM good g LEFT JOIN below b USING (id)
         UNION ALL SELECT f.node_id, NULL, NULL, NULL, b.k, f.fault FROM fault f LEFT JOIN below_lost b ON b.id = f.node_id""",
+    "p2_all_descendants": _TREE_SQL
+    + """, up AS (SELECT id AS descendant_id, parent AS node_id, 1 AS distance FROM n WHERE parent IN (SELECT id FROM n) AND parent <> id
+                  UNION SELECT u.descendant_id, n.parent, u.distance + 1 FROM up u JOIN n ON n.id = u.node_id WHERE n.parent IN (SELECT id FROM n) AND u.distance < (SELECT count(*) FROM n))
+        SELECT node_id, descendant_id, min(distance)::INT AS distance FROM up WHERE node_id <> descendant_id GROUP BY ALL""",
     "p2_descendants": _TREE_SQL + "SELECT path[i] AS node_id, id AS descendant_id, (depth + 1 - i)::INT AS distance FROM (SELECT id, path, depth, unnest(range(1, depth + 1)) AS i FROM good)",
     "chunk_source_warnings": _TREE_SQL
     + """, c AS (SELECT chunk_id, arg_max({'s': source_node_id, 'a': parent_article_node_id}, indexed_at) AS r FROM legal_chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
