@@ -9,19 +9,22 @@ Two signatures are offered:
 * ``minhash`` (default): SEGMENTS segments of PLACES min-hash values. A pair of similarity s shares the variant of a
   segment with probability s^r + r s^(r-1) (1-s); with 20 segments of 5 values a pair at 0.6 is missed with probability
   0.0003, at 0.65 with 0.00002, at 0.8 with 1e-13. The number of rows is the same for every document.
-* ``sets``: the bits of the shingle set itself. Sets of n and l shingles with a similarity of t or more differ in at most
-  H = floor((1 - t) / (1 + t) * (n + l)) bits; with allowances e_i in {none, 0, 1} that fulfil sum(e_i + 1) = H + 1, some
-  segment differs by at most its allowance. No pair is lost at all.
-
-The variants of a set would be about four rows for each shingle. So ``sets`` moves what they are made from: the contents
-of a bundle of segments of many documents go to one task as packed arrays (:func:`_contents`), and the variants and their
-equality join are made there (:func:`_equal_variants`). Parity sketches drop pairs that can't reach the threshold before
+* ``sets``: the shingle set itself, cut by hash into segments. Of a set of n shingles at most D = n - t / (1 + t) * (n + l)
+  are missing from a partner of l >= n; of c shingles chosen in a segment all pairs are lost only if c - 1 are missing. So the
+  smaller set probes with all pairs inside its chosen shingles, chosen so that sum(c - 1) > D, against all pairs inside the
+  segments of the larger one: some pair is met, and none of the links is lost. Any choice of that sum is exact, so each set
+  takes its rarest shingles, and of neighbours in the text, which come together, only one where it can.
+
+The pairs of a set would be hundreds of rows. So ``sets`` moves what they are made from: the contents of a bundle of segments
+of many documents go to one task as packed arrays (:func:`_contents`), where the keys of the probes are held and those of the
+index are made as they stream by (:func:`_unit_pairs`). Parity sketches drop pairs that can't reach the threshold before
 they leave the join; the sketch test loses nothing. Documents of the same word sequence are one class; pairs are between
 classes, and copies hang on their class.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -36,13 +39,15 @@ from lexweave.session import materialize, spread
 
 #: Of the min-hash signature: values in a segment, and segments.
 PLACES, SEGMENTS = 5, 20
-#: Of the set signature: segments per two differences, and how rare a shared shingle is taken to be when a set chooses the
-#: segments that it probes. A size group reaches to 1 / threshold times its least size, so partners are in the next at most.
-PER_TWO, RARE = 1.5, 0.05
+#: Of the set signature: shingles of the largest set of a size group for each segment, and buckets (a power of two) in which
+#: shingles are counted, one byte each when broadcast. A size group reaches to 1 / threshold times its least size, so partners
+#: are in the next at most. Of two shingles of a segment that begin within NEAR words the more frequent is taken as this frequent.
+PER_SEGMENT, BUCKETS, NEAR, TOGETHER = 12, 1 << 22, 6, 0.5
 #: 64-bit words of a min-hash row's sketch, bits of a sketch for each shingle of a set signature, and its most words.
-SKETCH, SKETCH_BITS, SKETCH_MOST = 4, 2.5, 64
-#: Bytes that a task gets of one bundle of segments, shingles of a batch of sets, and matches that are tested at once.
-UNIT_BYTES, BATCH_SHINGLES, MATCHES = 12_000_000, 400_000, 500_000
+SKETCH, SKETCH_BITS, SKETCH_MOST = 4, 1.9, 64
+#: Bytes that a task gets of one bundle of segments, or as part of all where that is more, bytes of probes that it holds,
+#: shingles of a batch of sets, and matches that are tested at once.
+UNIT_BYTES, UNITS, HELD_BYTES, BATCH_SHINGLES, MATCHES = 12_000_000, 10, 200_000_000, 400_000, 500_000
 
 _U = np.uint64
 
@@ -71,33 +76,54 @@ class Plan:
         s = n + m
         return s - 2 * np.ceil(self.t / (1 + self.t) * s - 1e-9).astype(np.int64)
 
-    def segments(self, g: int) -> int:
-        top = self.top(g)
-        most = int(self.differ(np.array([top]), np.array([top]))[0])
-        return max(1, math.ceil((most + 1) / 2 * PER_TWO))
+    def bottom(self, g: int) -> int:
+        """The smallest size of a group."""
+        return self.top(g - 1) + 1 if g > 0 else 1
+
+    def need(self, n, g: int):
+        """One more than the most shingles of sets of size n that a partner in group g, at least as large, lacks."""
+        m = np.maximum(n, self.bottom(g))
+        return np.maximum(n - np.ceil(self.t / (1 + self.t) * (n + m) - 1e-9).astype(np.int64), 0) + 1
+
+    @functools.cache
+    def segments(self, g: int) -> tuple[int, int]:
+        """(segments, shingles in a key) of a group: pairs, unless some set that probes it is too small to do with them."""
+        n = np.arange(max(1, math.floor(self.t * self.bottom(g))), self.top(g) + 1)
+        most = int((n - self.need(n, g)).min())
+        return (max(1, min(self.top(g) // PER_SEGMENT, most)), 2) if most >= 1 else (1, 1)
 
     def sketch_words(self, g: int) -> int:
         return min(SKETCH_MOST, max(2, math.ceil(SKETCH_BITS * self.top(g) / 64)))
 
 
-def shingle_sets(h: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingles of many documents, given their word hashes and numbers of words: (hashes, document
-    numbers), sorted by document."""
+def _runs(h: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All k-word shingles of many documents in their order: (hashes, document numbers, places of their first words)."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
     n = len(h) - k + 1
     if n < 1:
-        return np.array([], _U), np.array([], np.int64)
+        return np.array([], _U), np.array([], np.int64), np.array([], np.int64)
     acc = np.zeros(n, _U)
     with np.errstate(over="ignore"):
         for j in range(k):
             acc = mix(acc * _U(31) + h[j : j + n], j + 1)
-    ok = doc[:n] == doc[k - 1 :]
-    acc, doc = acc[ok], doc[:n][ok]
+    at = np.nonzero(doc[:n] == doc[k - 1 :])[0]
+    return acc[at], doc[at], at
+
+
+def _placed_sets(h: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of :func:`_runs`, each at its first place, sorted by document."""
+    acc, doc, at = _runs(h, sizes, k)
     order = np.lexsort((acc, doc))
-    acc, doc = acc[order], doc[order]
+    acc, doc, at = acc[order], doc[order], at[order]
     new = np.ones(len(acc), bool)
     new[1:] = (acc[1:] != acc[:-1]) | (doc[1:] != doc[:-1])
-    return acc[new], doc[new]
+    return acc[new], doc[new], at[new]
+
+
+def shingle_sets(h: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-word shingles of many documents, given their word hashes and numbers of words: (hashes, document
+    numbers), sorted by document."""
+    return _placed_sets(h, sizes, k)[:2]
 
 
 def _digests(batches: Iterable[pa.RecordBatch], k: int, least: int, logp: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -115,10 +141,14 @@ def _digests(batches: Iterable[pa.RecordBatch], k: int, least: int, logp: np.nda
             yield pa.record_batch([part.column(0).take(pa.array(keep, pa.int64())), i64([x >> 64 for x in d]), i64([x & 0xFFFFFFFFFFFFFFFF for x in d]), pa.array(seqs, pa.binary())], names=["id", "c1", "c2", "words"])
 
 
+def _words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, numbers of words) of packed word hashes."""
+    return np.frombuffer(b"".join(words), _U), np.array([len(x) // 8 for x in words], np.int64)
+
+
 def _unpack(words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, documents) of packed word hashes."""
-    n = np.array([len(x) // 8 for x in words], np.int64)
-    return shingle_sets(np.frombuffer(b"".join(words), _U), n, k)
+    return shingle_sets(*_words(words), k)
 
 
 def _with_sizes(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -176,67 +206,115 @@ def _minhash_rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.Reco
                 )
 
 
+def _counts(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(block, buckets, counts) of a partition's shingles: blocks of 65,536 buckets, packed."""
+    total = np.zeros(BUCKETS, np.uint32)
+    for b in batches:
+        for lo in range(0, b.num_rows, 2048):
+            h = _runs(*_words(b.column(0).slice(lo, 2048).to_pylist()), k)[0]
+            at, c = np.unique((h & _U(BUCKETS - 1)).astype(np.int64), return_counts=True)
+            total[at] += c.astype(np.uint32)
+    for block in range(BUCKETS >> 16):
+        part = total[block << 16 : (block + 1) << 16]
+        if len(at := np.nonzero(part)[0]):
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["block", "at", "counts"])
+
+
+def _levels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, levels): eight times the binary logarithm of each bucket's sum, as bytes."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, at, c in zip(*(x.to_pylist() for x in b.columns)):
+            total.setdefault(block, np.zeros(1 << 16))[np.frombuffer(at, np.uint16)] += np.frombuffer(c, np.uint32)
+    for block, x in total.items():
+        level = np.minimum(np.rint(8 * np.log2(x + 1)), 255).astype(np.uint8)
+        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "levels"])
+
+
+def frequencies(words: DataFrame, k: int) -> np.ndarray:
+    """Levels of all buckets; what is sent to the driver and from there to the tasks are BUCKETS bytes."""
+    parts = words.mapInArrow(lambda it: _counts(it, k), "block int, at binary, counts binary").repartition("block")
+    out = np.zeros(BUCKETS, np.uint8)
+    for r in parts.mapInArrow(_levels, "block int, levels binary").collect():
+        out[r["block"] << 16 : (r["block"] + 1) << 16] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
 def layout(plan: Plan, groups: Iterable[tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:
-    """Bundles of segments, hash ranges of contents and number of the first task for every size group that documents are
-    sent to, from (group, documents, shingles); each bundle and range is a task. A bundle is made as small as keeps a task's share near UNIT_BYTES; where a single
-    segment is still too much, a document's segment goes to the ranges that its variants fall in."""
+    """Bundles of segments, blocks of probes and number of the first task for every size group that documents are sent to,
+    from (group, documents, shingles); each bundle and block is a task. Where the probes of a bundle are more than a task may
+    hold, they go to blocks, and the index to each. Of the numbers of bundles that keep a task's share near UNIT_BYTES, or
+    near a part of all where that is more, that one is taken that moves the fewest bytes."""
+    own = {g: (n, s) for g, n, s in groups}
     docs: dict[int, int] = {}
     shingles: dict[int, int] = {}
-    for g, n, s in groups:
+    for g, (n, s) in own.items():
         for at in (g, g + 1, g + 2) if plan.ratio * plan.t < 1 - 1e-9 else (g, g + 1):
             docs[at] = docs.get(at, 0) + n
             shingles[at] = shingles.get(at, 0) + s
+    unit = max(UNIT_BYTES, sum(7 * s for _, s in own.values()) // UNITS)
     out, tasks = {}, 0
     for g, n in sorted(docs.items()):
-        m = plan.segments(g)
-        fixed = n * (8 * plan.sketch_words(g) + 6)
-        moving = 5 * shingles[g] + 2 * m * n
-        bundles = min(m, max(1, math.ceil(moving / max(UNIT_BYTES - fixed, UNIT_BYTES / 4))))
-        ranges = max(1, round((moving / bundles + fixed) / (2 * UNIT_BYTES)))
-        out[g] = bundles, ranges, tasks
-        tasks += bundles * ranges
+        if g not in own:
+            continue
+        m, fixed = plan.segments(g)[0], 8 * plan.sketch_words(g) + 6
+        b = np.arange(1, m + 1)
+        # A probe has about 0.6 keys a shingle, of 18 bytes each with their buckets, and sends 0.4 of its shingles.
+        blocks = np.maximum(1, np.ceil((11 * shingles[g] / b + (fixed + 12) * n) / HELD_BYTES))
+        index = own[g][0] * (b * fixed + 2 * m) + 5 * own[g][1]
+        probes = n * (b * fixed + 2 * m) + 2 * shingles[g]
+        moved, share = blocks * index + probes, (index + probes / blocks) / b
+        pick = int(np.argmin(np.where((share <= unit) | (share <= share.min() * 1.01), moved, np.inf)))
+        out[g] = int(b[pick]), int(blocks[pick]), tasks
+        tasks += out[g][0] * out[g][1]
     return out
 
 
-def _allowances(plan: Plan, g: int, n: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For every set and segment 0 (not probed), 1 (must be equal) or 2 (may differ by one bit), so that a partner of the
-    group agrees in one: of the steps none to equal to one bit the cheapest are taken, by how many sets may share them."""
-    m = size.shape[1]
-    most = np.minimum(np.floor(n / plan.t + 1e-9).astype(np.int64), plan.top(g))
-    need = np.maximum(plan.differ(n, most), 0) + 1
-    cost0 = RARE ** size.astype(np.float64)
-    cost1 = np.maximum(size * RARE ** np.maximum(size - 1, 0), cost0 * 1.001) + np.where(size == 0, 1.0, 0.0)
-    steps = np.concatenate([cost0, cost1], 1)
-    place = np.empty(steps.shape, np.int64)
-    np.put_along_axis(place, np.argsort(steps, axis=1, kind="stable"), np.arange(2 * m)[None, :], axis=1)
-    ones = place[:, m:] < need[:, None]
-    return np.where(ones, 2, np.where(place[:, :m] < need[:, None], 1, 0)).astype(np.uint16)
-
-
-def _keys(full: np.ndarray, seg: np.ndarray, short: int) -> np.ndarray:
-    """Keys of contents in two spaces: whole contents of the index, and its contents less one bit."""
+def _chosen(plan: Plan, g: int, n: np.ndarray, doc: np.ndarray, cell: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which shingles the sets of sizes n probe group g with; cells are (document, segment), the rows are sorted by cell and
+    frequency. Of c chosen shingles of a segment all keys are lost only if c + 1 - (shingles in a key) are missing, so each
+    further one is worth 1; the cheapest are taken, by how often their keys are to be expected."""
+    pair = plan.segments(g)[1] == 2
+    begins = np.ones(len(cell), bool)
+    begins[1:] = cell[1:] != cell[:-1]
+    first = np.maximum.accumulate(np.where(begins, np.arange(len(cell)), 0))
+    before = np.concatenate([[0.0], np.cumsum(q)])
+    cost = q * (before[:-1] - before[first]) if pair else q
+    worth = np.nonzero(~begins)[0] if pair else np.arange(len(cell))
+    worth = worth[np.lexsort((cost[worth], doc[worth]))]
+    mine = doc[worth]
+    taken = worth[np.arange(len(worth)) - np.searchsorted(mine, mine) < plan.need(n, g)[mine]]
+    last = np.full(len(cell), -1)
+    np.maximum.at(last, first[taken], taken)
+    return np.arange(len(cell)) <= last[first]
+
+
+def _pairs_of(vals: np.ndarray, cell: np.ndarray, seg: np.ndarray, doc: np.ndarray, pair: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, documents): of every pair of values of a cell, or of every value; rows are sorted by cell."""
     with np.errstate(over="ignore"):
-        return mix(full + seg.astype(_U) * _U(0x632BE59BD9B4E019), 3000 + short)
-
-
-def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(size)
-    with np.errstate(over="ignore"):
-        c = np.concatenate([np.zeros(1, _U), np.cumsum(values, dtype=_U)])
-        return c[ends] - c[ends - size]
+        salt = seg.astype(_U) * _U(0x632BE59BD9B4E019)
+        if not pair:
+            return mix(vals + salt, 3000), doc
+        left = np.searchsorted(cell, cell, "right") - 1 - np.arange(len(cell))
+        keys, docs, at, k = [], [], np.nonzero(left > 0)[0], 1
+        while len(at):
+            keys.append(vals[at] + vals[at + k] + salt[at])
+            docs.append(doc[at])
+            k += 1
+            at = at[left[at] >= k]
+        return (mix(np.concatenate(keys), 3001), np.concatenate(docs)) if keys else (np.array([], _U), np.array([], np.int64))
 
 
 FIELDS = ("docs", "sizes", "cells", "vals", "sketches")
-CONTENTS = "task int, unit bigint, base bigint, " + ", ".join(f"{f} binary" for f in FIELDS)
+CONTENTS = "task int, unit bigint, kind int, base bigint, " + ", ".join(f"{f} binary" for f in FIELDS)
 
 
-def _contents(batches: Iterable[pa.RecordBatch], k: int, plan: Plan, parts: dict[int, tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, unit, base, packed arrays): for each size group and bundle of its segments the documents of a batch, in
-    their own group as index and probe, in the groups of larger partners as probe only.
+def _contents(batches: Iterable[pa.RecordBatch], k: int, plan: Plan, parts: dict[int, tuple[int, int, int]], levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (task, unit, kind, base, packed arrays): for each size group and bundle of its segments the documents of a batch,
+    as probes (kind 0) with their chosen shingles, and in their own group as index (kind 1) with all.
 
-    unit is (group, bundle, range); a document's number is base plus ``docs``; ``sizes`` its shingles, the top bit set if it
-    is of the group; ``cells`` for each segment of the bundle 4 times its shingles plus the allowance; ``vals`` 40 bits of
-    each shingle, by document and segment.
+    unit is (group, bundle, block); a document's number is base plus ``docs``; ``sizes`` its shingles; ``cells`` those that
+    are sent for each segment of the bundle; ``vals`` 40 bits of each, by document and segment.
     """
     for b in batches:
         rids = b.column(0).to_numpy(zero_copy_only=False)
@@ -249,133 +327,147 @@ def _contents(batches: Iterable[pa.RecordBatch], k: int, plan: Plan, parts: dict
                 part = b.slice(at, min(hi, at + 4096) - at)
                 if not part.num_rows:
                     continue
-                h, doc = _unpack(part.column(2).to_pylist(), k)
-                rows = _of_batch(h, doc, part.num_rows, int(rids[at]), plan, parts)
+                h, doc, place = _placed_sets(*_words(part.column(2).to_pylist()), k)
+                rows = _of_batch(h, doc, place, part.num_rows, int(rids[at]), plan, parts, levels)
                 if rows:
-                    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * len(FIELDS)]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["task", "unit", "base", *FIELDS])
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * len(FIELDS)]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["task", "unit", "kind", "base", *FIELDS])
 
 
-def _of_batch(h: np.ndarray, doc: np.ndarray, count: int, base: int, plan: Plan, parts: dict[int, tuple[int, int, int]]) -> list[tuple]:
+def _of_batch(h: np.ndarray, doc: np.ndarray, place: np.ndarray, count: int, base: int, plan: Plan, parts: dict[int, tuple[int, int, int]], levels: np.ndarray) -> list[tuple]:
     n = np.bincount(doc, minlength=count)
     own, last = plan.group(n), plan.group(np.floor(n / plan.t + 1e-9).astype(np.int64))
+    often = np.exp2(levels[(h & _U(BUCKETS - 1)).astype(np.int64)] / 8.0)
+    often /= max(1.0, 2 * often.max())
     out = []
     for g in range(int(own.min()), int(last.max()) + 1):
         pick = (own <= g) & (last >= g) & (n > 0)
-        if not pick.any():
+        if g not in parts or not pick.any():
             continue
-        m, (bundles, ranges, task), words = plan.segments(g), parts.get(g, (1, 1, 0)), plan.sketch_words(g)
+        m, (bundles, blocks, task), words = plan.segments(g)[0], parts[g], plan.sketch_words(g)
         docs = np.nonzero(pick)[0]
         rank = np.full(count, -1)
         rank[docs] = np.arange(len(docs))
         inside = pick[doc]
-        x, d = h[inside], rank[doc[inside]]
-        seg = (mix(x, 1000 + g) % _U(m)).astype(np.int64)
-        order = np.argsort(d * m + seg, kind="stable")
-        x, d, seg = x[order], d[order], seg[order]
-        size = np.bincount(d * m + seg, minlength=len(docs) * m).reshape(len(docs), m)
-        if size.max() >= 1 << 14:
-            raise ValueError("a segment of more than 16,383 shingles")
-        cells = (size * 4).astype(np.uint16) + _allowances(plan, g, n[docs], size)
-        value = mix(x, 2000 + g) >> _U(24)
+        x, d, q, p = h[inside], rank[doc[inside]], often[inside], place[inside]
         sketch = _sketches(x, np.concatenate([[0], np.cumsum(n[docs])])[:-1], words)
-        head = (n[docs] | np.where(own[docs] == g, 1 << 31, 0)).astype(np.uint32)
-        for u in range(bundles):
-            first, stop = u * m // bundles, (u + 1) * m // bundles
-            mine = (seg >= first) & (seg < stop)
-            v, at, c = value[mine], d[mine], cells[:, first:stop]
-            s = size[:, first:stop]
-            for r in range(ranges):
-                if ranges == 1:
-                    who = np.ones(len(docs), bool)
-                else:
-                    flat = s.ravel()
-                    full, cell = _sums(v, flat), np.repeat(np.arange(len(flat)), flat)
-                    col = np.tile(np.arange(first, stop), len(docs))
-                    with np.errstate(over="ignore"):
-                        falls = np.concatenate([_keys(full, col, 9), _keys(full[cell] - v, col[cell], 9)]) % _U(ranges) == _U(r)
-                    who = np.zeros(len(docs), bool)
-                    who[np.concatenate([np.repeat(np.arange(len(docs)), stop - first), at])[falls]] = True
-                    if not who.any():
-                        continue
-                vals = v[who[at]].view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append((task + u * ranges + r, g << 44 | u << 22 | r, base, docs[who].astype(np.uint16).tobytes(), head[who].tobytes(), c[who].tobytes(), vals.tobytes(), sketch[who].tobytes()))
+        seg = (mix(x, 1000 + g) % _U(m)).astype(np.int64)
+        cell = d * m + seg
+        order = np.lexsort((p, cell))
+        x, d, seg, q, p, cell = x[order], d[order], seg[order], q[order], p[order], cell[order]
+        near = np.nonzero((cell[1:] == cell[:-1]) & (p[1:] - p[:-1] <= NEAR))[0]
+        q[np.where(q[near] >= q[near + 1], near, near + 1)] = TOGETHER
+        order = np.lexsort((q, cell))
+        x, d, seg, q, cell = x[order], d[order], seg[order], q[order], cell[order]
+        value = (mix(x, 2000 + g) >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+        head = n[docs].astype(np.uint32)
+        mine = int(mix(np.array([base], _U), 5)[0] % _U(blocks))
+        for kind, who, sent in ((0, np.ones(len(docs), bool), _chosen(plan, g, n[docs], d, cell, q)), (1, own[docs] == g, np.ones(len(x), bool))):
+            if not who.any():
+                continue
+            sent &= who[d]
+            cells = np.bincount(cell[sent], minlength=len(docs) * m).reshape(len(docs), m)
+            if cells.max() >= 1 << 16:
+                raise ValueError("a segment of more than 65,535 shingles")
+            for u in range(bundles):
+                first, stop = u * m // bundles, (u + 1) * m // bundles
+                c = cells[:, first:stop]
+                # A document of no key in the bundle isn't sent.
+                some = who & (c >= plan.segments(g)[1]).any(1)
+                if not some.any():
+                    continue
+                vals = value[sent & (seg >= first) & (seg < stop) & some[d]]
+                packed = docs[some].astype(np.uint16).tobytes(), head[some].tobytes(), c[some].astype(np.uint16).tobytes(), vals.tobytes(), sketch[some].tobytes()
+                for r in range(blocks) if kind else (mine,):
+                    out.append((task + u * blocks + r, g << 44 | u << 22 | r, kind, base, *packed))
     return out
 
 
-def _equal_variants(rows: list[tuple], plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of document numbers of one unit whose contents of some segment are equal but for the probe's allowance, and
-    whose sizes and sketches let them reach the threshold."""
-    g = rows[0][0] >> 44
-    words = plan.sketch_words(g)
-    raw = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in rows])
-    rid = np.concatenate([np.frombuffer(r[2], np.uint16).astype(np.int64) + r[1] for r in rows])
-    head = raw(3, np.uint32)
-    n, own = (head & 0x7FFFFFFF).astype(np.int64), head >> 31 == 1
-    cells = raw(4, np.uint16)
-    width = len(cells) // len(rid)
-    size, allow = (cells >> 2).astype(np.int64), cells & 3
-    vals = np.zeros((int(size.sum()), 8), np.uint8)
-    vals[:, :5] = raw(5, np.uint8).reshape(-1, 5)
-    vals = vals.view(_U).ravel()
-    sketch = raw(6, _U).reshape(len(rid), words)
-    full, cell = _sums(vals, size), np.repeat(np.arange(len(cells)), size)
-    less = full[cell] - vals
-    seg, doc = np.tile(np.arange(width), len(rid)), np.repeat(np.arange(len(rid)), width)
-    mine = own[doc]
-    keys = np.concatenate([_keys(full[mine], seg[mine], 0), _keys(less[mine[cell]], seg[cell][mine[cell]], 1)])
-    index = np.concatenate([doc[mine], doc[cell][mine[cell]]])
-    order = np.argsort(keys)
-    keys, index = keys[order], index[order]
-    some, one = allow > 0, allow == 2
-    wild = one[cell]
-    asked = np.concatenate([_keys(full[some], seg[some], 0), _keys(full[one], seg[one], 1), _keys(less[wild], seg[cell][wild], 0)])
-    probe = np.concatenate([doc[some], doc[one], doc[cell][wild]])
-    lo = np.searchsorted(keys, asked, "left")
-    count = np.searchsorted(keys, asked, "right") - lo
-    hit = count > 0
-    lo, count, probe = lo[hit], count[hit], probe[hit]
-    upto = np.concatenate([[0], np.cumsum(count)])
-    share = plan.t / (1 + plan.t)
-    a = 0
-    while a < len(probe):
-        z = max(a + 1, int(np.searchsorted(upto, upto[a] + MATCHES, "right")) - 1)
-        c = count[a:z]
-        p = np.repeat(probe[a:z], c)
-        i = index[np.repeat(lo[a:z] - (upto[a:z] - upto[a]), c) + np.arange(int(c.sum()))]
-        a = z
-        np_, ni = n[p], n[i]
-        ok = ((np_ < ni) | ((np_ == ni) & (rid[p] < rid[i]))) & (np_ + 1e-6 >= plan.t * ni)
-        p, i = p[ok], i[ok]
-        s = n[p] + n[i]
-        most = s - 2 * np.ceil(share * s - 1e-9)
-        differ = np.zeros(len(p), np.int64)
-        for w in range(words):
-            differ += np.bitwise_count(sketch[p, w] ^ sketch[i, w])
-            if w % 2 or w == words - 1:
-                ok = differ <= most
-                p, i, most, differ = p[ok], i[ok], most[ok], differ[ok]
-        if len(p):
-            pair = np.unique(np.stack([np.minimum(rid[p], rid[i]), np.maximum(rid[p], rid[i])], 1), axis=0)
-            yield pair[:, 0], pair[:, 1]
+def _keyed(row: tuple, plan: Plan, g: int) -> tuple[np.ndarray, ...]:
+    """(numbers, sizes, sketches, keys, documents of the keys) of a row of :func:`_contents`."""
+    _, _, base, docs, sizes, cells, vals, sketches = row
+    rid = np.frombuffer(docs, np.uint16).astype(np.int64) + base
+    size = np.frombuffer(cells, np.uint16).astype(np.int64)
+    width = len(size) // len(rid)
+    v = np.zeros((int(size.sum()), 8), np.uint8)
+    v[:, :5] = np.frombuffer(vals, np.uint8).reshape(-1, 5)
+    cell = np.repeat(np.arange(len(size)), size)
+    keys, doc = _pairs_of(v.view(_U).ravel(), cell, cell % width, cell // width, plan.segments(g)[1] == 2)
+    return rid, np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(sketches, _U).reshape(len(rid), -1), keys, doc
+
+
+class Probes:
+    """The probes of one unit, their keys in buckets by the leading bits."""
+
+    def __init__(self, rows: list[tuple], plan: Plan, g: int):
+        got = [_keyed(r, plan, g) for r in rows]
+        self.plan, self.g = plan, g
+        self.rid, n, self.sketch, keys = (np.concatenate([x[k] for x in got]) for k in range(4))
+        self.n = n.astype(np.int32)
+        start = np.cumsum([0, *(len(x[0]) for x in got)])
+        doc = np.concatenate([(x[4] + at).astype(np.int32) for x, at in zip(got, start)])
+        del got
+        order = np.argsort(keys)
+        self.keys, self.doc = keys[order], doc[order]
+        self.shift = _U(64 - max(1, (len(keys) - 1).bit_length()))
+        self.starts = np.zeros((1 << (64 - int(self.shift))) + 1, np.int32)
+        self.starts[1:] = np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=len(self.starts) - 1))
+
+    def pairs(self, row: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of numbers of a probe and a document of the row that meet in a key, and whose sizes and sketches let them
+        reach the threshold."""
+        rid, n, sketch, keys, doc = _keyed(row, self.plan, self.g)
+        bucket = (keys >> self.shift).astype(np.int64)
+        lo = self.starts[bucket].astype(np.int64)
+        count = self.starts[bucket + 1] - lo
+        hit = count > 0
+        lo, count, keys, doc = lo[hit], count[hit], keys[hit], doc[hit]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        t, words, a = self.plan.t, sketch.shape[1], 0
+        while a < len(lo):
+            z = max(a + 1, int(np.searchsorted(upto, upto[a] + MATCHES, "right")) - 1)
+            # One key of very many probes is cut as well.
+            for part in range(0, max(1, int(upto[z] - upto[a])), MATCHES):
+                at = np.arange(upto[a] + part, min(upto[z], upto[a] + part + MATCHES))
+                k = np.searchsorted(upto, at, "right") - 1 if z == a + 1 else np.repeat(np.arange(a, z), count[a:z])
+                e = lo[k] + at - upto[k]
+                same = self.keys[e] == keys[k]
+                p, i = self.doc[e[same]], doc[k[same]]
+                np_, ni = self.n[p], n[i]
+                ok = ((np_ < ni) | ((np_ == ni) & (self.rid[p] < rid[i]))) & (np_ + 1e-6 >= t * ni)
+                p, i = p[ok], i[ok]
+                s = self.n[p] + n[i]
+                most = s - 2 * np.ceil(t / (1 + t) * s - 1e-9)
+                differ = np.zeros(len(p), np.int64)
+                for w in range(words):
+                    differ += np.bitwise_count(self.sketch[p, w] ^ sketch[i, w])
+                    if w % 2 or w == words - 1:
+                        ok = differ <= most
+                        p, i, most, differ = p[ok], i[ok], most[ok], differ[ok]
+                if len(p):
+                    x, y = self.rid[p], rid[i]
+                    pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                    yield pair[:, 0], pair[:, 1]
+            a = z
 
 
 def _unit_pairs(batches: Iterable[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit, joined one unit at a time: (ra, rb)."""
-
-    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for a, b in _equal_variants(held, plan):
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["ra", "rb"])
-
+    """Rows sorted by unit and kind: (ra, rb). The probes of a unit are held, its index streams by."""
     held: list[tuple] = []
+    probes, unit = None, None
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if held and held[0][0] != row[0]:
-                yield from pairs(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from pairs(held)
+        for j in range(b.num_rows):
+            row = tuple(c[j].as_py() for c in b.columns)
+            if row[0] != unit:
+                held, probes, unit = [], None, row[0]
+            if row[1] == 0:
+                held.append(row)
+                continue
+            if held:
+                probes, held = Probes(held, plan, unit >> 44), []
+            if probes is not None:
+                for x, y in probes.pairs(row):
+                    yield pa.record_batch([pa.array(x), pa.array(y)], names=["ra", "rb"])
 
 
 def _verified(batches: Iterable[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -426,9 +518,10 @@ def near_duplicates(docs: DataFrame, logp: np.ndarray, key: str = "doc_id", text
         group = F.floor(F.log(F.col("n")) / F.lit(math.log(plan.ratio)) + F.lit(1e-9)).cast("int")
         sizes = reps.groupBy(group.alias("g")).agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).collect()
         parts = layout(plan, [(r["g"], r["docs"], r["shingles"]) for r in sizes])
-        sent = reps.select("rid", "n", "words").mapInArrow(lambda it: _contents(it, shingle, plan, parts), CONTENTS)
-        tasks = sum(bundles * ranges for bundles, ranges, _ in parts.values())
-        found = sent.repartitionById(max(1, tasks), "task").drop("task").sortWithinPartitions("unit").mapInArrow(lambda it: _unit_pairs(it, plan), "ra bigint, rb bigint")
+        levels = frequencies(reps.select("words"), shingle)
+        sent = reps.select("rid", "n", "words").mapInArrow(lambda it: _contents(it, shingle, plan, parts, levels), CONTENTS)
+        tasks = sum(bundles * blocks for bundles, blocks, _ in parts.values())
+        found = sent.repartitionById(max(1, tasks), "task").drop("task").sortWithinPartitions("unit", "kind").mapInArrow(lambda it: _unit_pairs(it, plan), "ra bigint, rb bigint")
     found = found.distinct()
     a = reps.select(F.col("rid").alias("ra"), F.col("class_id").alias("ka"), F.col("words").alias("wa"))
     b = reps.select(F.col("rid").alias("rb"), F.col("class_id").alias("kb"), F.col("words").alias("wb"))
